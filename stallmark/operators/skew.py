@@ -7,22 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stallmark.session import cut
+
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys:
 #: the list of them has a proven bound and may be broadcast whatever the size of the data.
 HOT_SHARE = 1000
 SALTS = 16
 
 
-def hot_keys(df: DataFrame, keys: list[str], floor: int = 20_000) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], floor: int = 20_000, total: int | None = None) -> DataFrame:
     """Keys with more than max(floor, rows / HOT_SHARE) rows: at most HOT_SHARE rows come out."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return (
-        counts.filter(F.col("_n") > floor)
-        .join(F.broadcast(total))
-        .filter(F.col("_n") > F.col("_total") / HOT_SHARE)
-        .select(*keys)
-    )
+    total = df.count() if total is None else total
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(floor, total / HOT_SHARE)).select(*keys)
 
 
 def salted_join(
@@ -59,3 +55,18 @@ def salted_join(
     s = s.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_salt").alias("_s_salt"), *[c for c in small.columns if c not in keys])
     on = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]) & (F.col("_salt") == F.col("_s_salt"))
     return b.join(s, on, how).drop("_salt", "_s_salt", *[f"_s_{k}" for k in keys])
+
+
+def balanced_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", floor: int = 20_000) -> DataFrame:
+    """:func:`salted_join` with the hot keys of ``big``, which should be materialised since it is counted first.
+
+    No key of a table of at most ``floor`` rows can be hot, so such a table is joined without looking for any.
+    """
+    total = big.count()
+    if total > floor:
+        hot = cut(hot_keys(big, keys, floor, total))
+        if not hot.isEmpty():
+            return salted_join(big, small, keys, hot, spread, how)
+    s = small.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    on = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys])
+    return big.join(s, on, how).drop(*[f"_s_{k}" for k in keys])
