@@ -54,6 +54,14 @@ SCREEN = r"\b(1[1-7](?:\.\d)?)\s*(?:\"|inch)"
 COLOURS = ["space gray", "rose gold", "graphite", "silver", "gold", "black", "white", "red", "blue", "green", "yellow", "pink", "purple", "grey"]
 
 
+#: Blanks of any kind at both ends.
+BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, BLANKS, "")
+
+
 def condition_field(raw: Column) -> Column:
     """Condition of a typed field: a class name itself, else the first class one of whose words it contains."""
     c = F.lower(F.trim(raw))
@@ -111,7 +119,7 @@ def specifications(title: Column) -> dict[str, Column]:
 
 def city_and_state(raw: Column) -> tuple[Column, Column]:
     """Comma parts: of three or more the last two, of two both, of one the city alone."""
-    parts = F.filter(F.transform(F.split(raw, ","), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(raw, ","), lambda p: strip(p)), lambda p: p != "")
     n = F.size(parts)
     city = F.when(n >= 3, F.try_element_at(parts, F.lit(-2))).when(n >= 1, F.try_element_at(parts, F.lit(1)))
     state = F.when(n >= 3, F.try_element_at(parts, F.lit(-1))).when(n == 2, F.try_element_at(parts, F.lit(2)))

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters each normaliser keeps besides letters, digits, underscore and blanks.
 KEEP = {"title": "", "listing": r"./\-+₹", "ocr": r"./\-+"}
@@ -19,7 +20,7 @@ def normalise(text: Column, kind: str = "title") -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, which no built-in expression offers; null stays null."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")

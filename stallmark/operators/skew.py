@@ -57,16 +57,23 @@ def salted_join(
     return b.join(s, on, how).drop("_salt", "_s_salt", *[f"_s_{k}" for k in keys])
 
 
-def balanced_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", floor: int = 20_000) -> DataFrame:
-    """:func:`salted_join` with the hot keys of ``big``, which should be materialised since it is counted first.
+def find_hot(df: DataFrame, keys: list[str], total: int, floor: int = 20_000) -> DataFrame | None:
+    """The hot keys of a materialised table of ``total`` rows, or None: no key of at most ``floor`` rows is hot."""
+    if total <= floor:
+        return None
+    hot = cut(hot_keys(df, keys, floor, total))
+    return None if hot.isEmpty() else hot
 
-    No key of a table of at most ``floor`` rows can be hot, so such a table is joined without looking for any.
-    """
-    total = big.count()
-    if total > floor:
-        hot = cut(hot_keys(big, keys, floor, total))
-        if not hot.isEmpty():
-            return salted_join(big, small, keys, hot, spread, how)
+
+def join_with_hot(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None, spread: Column, how: str = "inner") -> DataFrame:
+    """:func:`salted_join` where there are hot keys, a plain shuffle join where there are none."""
+    if hot is not None:
+        return salted_join(big, small, keys, hot, spread, how)
     s = small.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *[c for c in small.columns if c not in keys])
     on = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys])
     return big.join(s, on, how).drop(*[f"_s_{k}" for k in keys])
+
+
+def balanced_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """Join that finds the hot keys of ``big`` itself; ``big`` should be materialised since it is counted first."""
+    return join_with_hot(big, small, keys, find_hot(big, keys, big.count()), spread, how)

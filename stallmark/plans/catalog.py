@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = re.sub(r"\b([xwi]) -> ", r"lambda \1: ", sql)
         return f
 
     return add
@@ -238,25 +239,25 @@ def spec_parse(spark, d):
 
 
 @query("""select record_id, case when n >= 3 then p[-2] when n >= 1 then p[1] end as city, case when n >= 3 then p[-1] when n = 2 then p[2] end as state from (
-select record_id, p, len(p) as n from (select record_id, list_filter(list_transform(string_split(location, ','), x -> trim(x)), x -> x <> '') as p from olx_listings))""")
+select record_id, p, len(p) as n from (select record_id, list_filter(list_transform(string_split(location, ','), x -> regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), x -> x <> '') as p from olx_listings))""")
 def parse_location(spark, d):
     city, state = parsing.city_and_state(F.col("location"))
     return table(spark, d, "olx_listings").select("record_id", city.alias("city"), state.alias("state"))
 
 
 @query("""with c as (select lower(name) as k, min(state_name) as s from canonical_values where kind = 'city' group by 1),
-p as (select record_id, unnest(p) as part, generate_subscripts(p, 1) as pos from (select record_id, list_filter(list_transform(string_split(lower(location), ','), x -> trim(x)), x -> x <> '') as p from olx_listings where location is not null)),
+p as (select record_id, unnest(p) as part, generate_subscripts(p, 1) as pos from (select record_id, list_filter(list_transform(string_split(lower(location), ','), x -> regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), x -> x <> '') as p from olx_listings where location is not null)),
 h as (select record_id, arg_max(s, pos) as state_name, arg_max(part, pos) as city from p join c on p.part = c.k group by 1)
-select o.record_id, case when h.record_id is not null then 'high' when o.location is null or trim(o.location) = '' then 'unknown' when trim(replace(o.location, ',', '')) = '' then 'low' else 'medium' end as confidence, h.city, h.state_name
+select o.record_id, case when h.record_id is not null then 'high' when o.location is null or regexp_replace(o.location, '^[\\s\\p{Z}]+', '') = '' then 'unknown' when regexp_replace(replace(o.location, ',', ''), '^[\\s\\p{Z}]+', '') = '' then 'low' else 'medium' end as confidence, h.city, h.state_name
 from olx_listings o left join h using (record_id)""")
 def location_hierarchy(spark, d):
     """Comma parts from right to left against the list of cities; the list is joined by key, so its size does not matter."""
     o = table(spark, d, "olx_listings").select("record_id", "location")
     c = table(spark, d, "canonical_values").filter("kind = 'city'").groupBy(F.lower("name").alias("part")).agg(F.min("state_name").alias("state_name"))
-    parts = F.filter(F.transform(F.split(F.lower("location"), ","), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.lower("location"), ","), lambda x: parsing.strip(x)), lambda x: x != "")
     h = o.select("record_id", F.posexplode(parts).alias("pos", "part")).join(c, "part").groupBy("record_id").agg(F.max_by("part", "pos").alias("city"), F.max_by("state_name", "pos").alias("state_name"))
-    blank = F.col("location").isNull() | (F.trim("location") == "")
-    conf = F.when(F.col("city").isNotNull(), "high").when(blank, "unknown").when(F.trim(F.replace("location", F.lit(","), F.lit(""))) == "", "low").otherwise("medium")
+    blank = F.col("location").isNull() | (parsing.strip(F.col("location")) == "")
+    conf = F.when(F.col("city").isNotNull(), "high").when(blank, "unknown").when(parsing.strip(F.replace("location", F.lit(","), F.lit(""))) == "", "low").otherwise("medium")
     return o.join(h, "record_id", "left").select("record_id", conf.alias("confidence"), "city", "state_name")
 
 
@@ -379,9 +380,9 @@ def knn_topk(spark, d):
     return vectors.cosine_topk(e, "vec_id", "embedding", 10, e.filter("vec_id % 50 = 0"))
 
 
-@query(f"with {_KNN} select rank, round(avg(similarity), 4) as mean_similarity, round(stddev_samp(similarity), 4) as std_similarity from k where q % 50 = 0 group by rank")
+@query(f"with {_KNN} select rank, round(avg(similarity), 8) as mean_similarity, round(stddev_samp(similarity), 8) as std_similarity from k where q % 50 = 0 group by rank")
 def knn_rank_profile(spark, d):
-    return knn_topk(spark, d).groupBy("rank").agg(F.round(F.avg("similarity"), 4).alias("mean_similarity"), F.round(F.stddev_samp("similarity"), 4).alias("std_similarity"))
+    return knn_topk(spark, d).groupBy("rank").agg(F.round(F.avg("similarity"), 8).alias("mean_similarity"), F.round(F.stddev_samp("similarity"), 8).alias("std_similarity"))
 
 
 @query(f"with {_KNN} select count(*) filter (similarity >= 0.5) as at_50, count(*) filter (similarity >= 0.7) as at_70, count(*) filter (similarity >= 0.9) as at_90, count(distinct least(q, n) || '-' || greatest(q, n)) filter (similarity >= 0.5) as pairs_50 from k where q % 50 = 0")
