@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallmark.operators.skew import balanced_join, hot_keys, salted_join
+from stallmark.operators.skew import find_hot, join_with_hot
 from stallmark.session import cut
 
 ROUNDS = 3
@@ -27,15 +27,12 @@ def start_time(vertex: Column, seed: int) -> Column:
     return F.log(u) / F.lit(BETA)
 
 
-def _decompose(edges: DataFrame, seed: int, rounds: int) -> DataFrame:
+def _decompose(edges: DataFrame, hot: DataFrame | None, seed: int, rounds: int) -> DataFrame:
     """Clusters of one level: ``v``, ``cluster``. ``edges`` holds ``v``, ``w``, ``hop``: both directions with hop 1 and
     every vertex with itself and hop 0, so that one join and one aggregation are a round."""
-    total = edges.count()
-    hot = cut(hot_keys(edges, ["v"], total=total)) if total > 20_000 else None
-    hot = None if hot is None or hot.isEmpty() else hot
     reach = edges.filter(F.col("hop") == 0).select("v", start_time(F.col("v"), seed).alias("at"), F.col("v").alias("c"))
     for _ in range(rounds):
-        sent = edges.join(reach, "v") if hot is None else salted_join(edges, reach, ["v"], hot, F.col("w"))
+        sent = join_with_hot(edges, reach, ["v"], hot, F.col("w"))
         reach = sent.groupBy(F.col("w").alias("v")).agg(F.min(F.struct((F.col("at") + F.col("hop")).alias("at"), "c")).alias("r")).select("v", "r.at", "r.c")
     return reach.select("v", F.col("c").alias("cluster"))
 
@@ -48,27 +45,26 @@ def connected_components(vertices: DataFrame, pairs: DataFrame, rounds: int = RO
     """
     a, b = pairs.columns[:2]
     ends = pairs.select(F.col(a).alias("v"), F.col(b).alias("w")).filter(F.col("v").isNotNull() & F.col("w").isNotNull())
-    one = ends.filter(F.col("v") != F.col("w")).select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct()
-    one = cut(one)
-    levels: list[DataFrame] = []
-    seed = 1
-    while not one.isEmpty():
+    one = cut(ends.filter(F.col("v") != F.col("w")).select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct())
+    levels: list[tuple[DataFrame, int]] = []
+    while total := one.count():
         both = one.select("v", "w", F.lit(1).alias("hop")).unionByName(one.select(F.col("w").alias("v"), F.col("v").alias("w"), F.lit(1).alias("hop")))
+        hot = find_hot(both, ["v"], 2 * total)  # by degree, so it serves both ends of an edge
         loops = both.select("v").distinct().select("v", F.col("v").alias("w"), F.lit(0).alias("hop"))
-        to = cut(_decompose(cut(both.unionByName(loops)), seed, rounds))
-        levels.append(to)
-        left = balanced_join(one, to, ["v"], F.col("w")).select(F.col("cluster").alias("a"), "w")
-        right = balanced_join(left, to.select(F.col("v").alias("w"), F.col("cluster").alias("b")), ["w"], F.col("a"))
+        to = cut(_decompose(cut(both.unionByName(loops)), hot, len(levels) + 1, rounds))
+        levels.append((to, 2 * total))
+        left = join_with_hot(one, to, ["v"], hot, F.col("w")).select(F.col("cluster").alias("a"), F.col("w").alias("v"))
+        right = join_with_hot(left, to.withColumnRenamed("cluster", "b"), ["v"], hot, F.col("a"))
         one = cut(right.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("w")).distinct())
-        seed += 1
     ids = vertices.select(F.col(vertices.columns[0]).alias("id")).filter(F.col("id").isNotNull()).unionByName(ends.select(F.col("v").alias("id"))).unionByName(ends.select(F.col("w").alias("id"))).distinct()
     if not levels:
         return ids.select("id", F.col("id").alias("group_id"))
     # compose: what a vertex of level i became at the end is what its cluster became
-    end = levels[-1]
-    for to in reversed(levels[:-1]):
+    end = levels[-1][0]
+    for to, bound in reversed(levels[:-1]):
         known = end.select(F.col("v").alias("cluster"), F.col("cluster").alias("last"))
-        end = cut(balanced_join(to, known, ["cluster"], F.col("v"), "left").select("v", F.coalesce("last", "cluster").alias("cluster")))
+        end = join_with_hot(to, known, ["cluster"], find_hot(to, ["cluster"], bound), F.col("v"), "left").select("v", F.coalesce("last", "cluster").alias("cluster"))
+    end = cut(end)
     smallest = end.groupBy("cluster").agg(F.min("v").alias("group_id"))
-    named = balanced_join(end, smallest, ["cluster"], F.col("v")).select(F.col("v").alias("id"), "group_id")
+    named = join_with_hot(end, smallest, ["cluster"], find_hot(end, ["cluster"], levels[0][1]), F.col("v")).select(F.col("v").alias("id"), "group_id")
     return ids.join(named, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
