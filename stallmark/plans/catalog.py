@@ -312,8 +312,9 @@ def script_detect(spark, d):
 
 
 def _docs(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "source", "lang", text.normalise(F.col("text"), "listing").alias("norm"))
-    return x.withColumn("tokens", text.tokens(F.col("norm")))
+    """Documents with their words. The generators keep later expressions from computing the words once per use."""
+    x = table(spark, d, "documents").select("doc_id", "source", "lang", F.explode(F.array(text.normalise(F.col("text"), "listing"))).alias("norm"))
+    return x.select("*", F.explode(F.array(text.tokens(F.col("norm")))).alias("tokens"))
 
 
 _DOCS = f"d as (select doc_id, source, lang, norm, {_TOK.format('norm')} as tokens from (select doc_id, source, lang, {_norm_sql('text', 'listing')} as norm from documents))"
