@@ -12,7 +12,12 @@ MIN_DF, MIN_DOCS, TOP_TERMS = 3, 10, 15
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
+    """Runs of n tokens joined by blanks; each longer run adds one token to a shorter one."""
+    g = tokens
+    for k in range(2, n + 1):
+        left = F.greatest(F.size(tokens) - (k - 1), F.lit(0))
+        g = F.zip_with(F.slice(g, F.lit(1), left), F.slice(tokens, F.lit(k), left), lambda a, b: F.concat(a, F.lit(" "), b))
+    return g
 
 
 def ngram_frequencies(docs: DataFrame, ident: str, tokens: str, sizes: tuple[int, ...] = (1, 2, 3), least_df: int = 2) -> DataFrame:
@@ -21,7 +26,12 @@ def ngram_frequencies(docs: DataFrame, ident: str, tokens: str, sizes: tuple[int
     Counted per document first, so that a document sends each phrase once.
     """
     t = F.col(tokens)
-    every = F.flatten(F.array(*[F.when(F.size(t) >= n, F.transform(ngrams(t, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("phrase")))).otherwise(F.array().cast("array<struct<n:int,phrase:string>>")) for n in sizes]))
+
+    def sized(n: int) -> Column:
+        grams = F.transform(ngrams(t, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("phrase")))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<struct<n:int,phrase:string>>"))
+
+    every = F.flatten(F.array(*map(sized, sizes)))
     per = docs.select(F.col(ident).alias("_id"), F.explode(every).alias("g")).groupBy("_id", "g.n", "g.phrase").agg(F.count(F.lit(1)).alias("c"))
     stop = F.array(*map(F.lit, STOPWORDS))
     per = per.filter(F.exists(F.split("phrase", " "), lambda w: ~F.array_contains(stop, w)))
