@@ -130,7 +130,7 @@ def _bitmap(keys: DataFrame) -> bytes:
             yield pd.DataFrame(out, columns=["piece", "bits"])
 
     top = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    at = keys.select(F.shiftright(top, chunk).cast("int").alias("piece"), top.bitwiseAND(F.lit((1 << chunk) - 1)).cast("int").alias("at")).distinct()
+    at = keys.select(F.shiftright(top, chunk).cast("int").alias("piece"), top.bitwiseAND(F.lit((1 << chunk) - 1)).cast("int").alias("at")).distinct().repartition("piece")
     whole = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
     for row in at.mapInPandas(build, "piece int, bits binary").toLocalIterator():
         start = row.piece << (chunk - 3)
