@@ -127,11 +127,11 @@ class Matcher:
                 if raw:
                     self.by_fold.setdefault(" ".join(map(fold, raw.split())), []).append((raw, e.ref_id))
             if e.region:
-                self.regions[fold(letters(plain(e.region)))] = e.region
+                self.regions[" ".join(fold(w) for w in (letters(t) for t in _SPLIT.split(plain(e.region))) if w)] = e.region
             if e.region and e.region_code:
                 self.codes[e.region_code.lower()] = e.region
         for key in self.by_fold:
-            auto.add_word(f" {key} ", ("entry", key))
+            auto.add_word(f" {key} ", ("entry", key, len(key)))
             for form in {key, *[raw for raw, _ in self.by_fold[key]]}:
                 for d in _deletions(form, _depth(len(form))):
                     self.near.setdefault(d, set()).add(key)
@@ -139,7 +139,7 @@ class Matcher:
                     self.starts.setdefault(form[:n], set()).add(key)
         for key, region in self.regions.items():
             if key not in self.by_fold:
-                auto.add_word(f" {key} ", ("region", region))
+                auto.add_word(f" {key} ", ("region", region, len(key)))
         auto.make_automaton() if len(auto) else None
         self.auto = auto if len(auto) else None
         self.seen: dict[str, tuple[int, float]] = {}
@@ -169,15 +169,12 @@ class Matcher:
                     tokens.append((known[0], known[1], s, known[2]))
         if not tokens or self.auto is None:
             return 0, 0.0
-        line = " " + "  ".join(f for _, f, _, _ in tokens) + " "
+        line = f" {' '.join(f for _, f, _, _ in tokens)} "
         starts, at = {}, 0
         for i, (_, f, _, _) in enumerate(tokens):
             starts[at] = i
-            at += len(f) + 2
-        found = []
-        for end, (kind, key) in self.auto.iter(line.replace("  ", " \0 ").replace("\0", "")):
-            start = end - len(key if kind == "entry" else fold(letters(plain(key)))) - 1
-            found.append((end - start + 1, start, kind, key))
+            at += len(f) + 1
+        found = [(n + 2, end - n - 1, kind, key) for end, (kind, key, n) in self.auto.iter(line)]
         taken: list[tuple[int, int, str, str]] = []
         for n, start, kind, key in sorted(found, key=lambda x: (-x[0], x[1])):
             if all(start + n - 1 <= a or start >= a + m - 1 for m, a, _, _ in taken):

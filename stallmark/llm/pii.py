@@ -154,7 +154,7 @@ _NAME_RULES = [
         ("contact ", 0, True, rf"\bcontact{_GAP}(?P<n>{_FULL})"),
         ("seller ", 0, True, rf"\bseller{_GAP}(?P<n>{_FULL})"),
         ("ask for ", 0, True, rf"\bask{_GAP}for{_GAP}(?P<n>{_FULL})"),
-        (" here", 48, False, rf"(?:^|(?<=[\n.!?\x01\x02])\s*)(?P<n>{_FULL})(?={_GAP}here\b)"),
+        (" here", 48, False, rf"(?:^|(?<=[\n.!?\x01\x02])\s*)(?P<n>{_FULL})(?={_GAP}here\s*,)"),
         ("- ", 0, False, rf"(?:^|(?<=[\n.!?\x01\x02])[ \t]*|\n)[-–—~][ \t]*(?P<n>{_FULL})(?=\s*(?:\n|$|[.!])|{_GAP}\p{{Lu}})"),
         (" - \x01p", 48, False, rf"(?:^|(?<=[\n.!?)\x01\x02])\s*)(?P<n>{_FULL})(?=[ ]-[ ]\x01P)"),
         ("regards", 0, False, rf"\bregards\b[ ,]*\n?(?P<n>{_FULL})(?!{_GAP}?(?:sales|team|care|store|shop|support|traders|electronics|mobiles))(?![\p{{L}}])"),
