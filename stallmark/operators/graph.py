@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallmark.operators.skew import balanced_join
-from stallmark.session import cut
+from stallmark.session import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         if nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty():
             break
         e = nxt
+        release(edges.sparkSession)
     return e.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -44,3 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and drop the lineage; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished rounds of an iteration left: plans, broadcasts, shuffle and checkpoint files.
+
+    Spark removes these only when the driver collects its garbage, which an idle heap may put off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
