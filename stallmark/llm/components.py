@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallmark.operators.skew import find_hot, join_with_hot
-from stallmark.session import cut
+from stallmark.session import cut, release
 
 ROUNDS = 3
 BETA = 0.2
@@ -56,6 +56,7 @@ def connected_components(vertices: DataFrame, pairs: DataFrame, rounds: int = RO
         left = join_with_hot(one, to, ["v"], hot, F.col("w")).select(F.col("cluster").alias("a"), F.col("w").alias("v"))
         right = join_with_hot(left, to.withColumnRenamed("cluster", "b"), ["v"], hot, F.col("a"))
         one = cut(right.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("w")).distinct())
+        release(pairs.sparkSession)
     ids = vertices.select(F.col(vertices.columns[0]).alias("id")).filter(F.col("id").isNotNull()).unionByName(ends.select(F.col("v").alias("id"))).unionByName(ends.select(F.col("w").alias("id"))).distinct()
     if not levels:
         return ids.select("id", F.col("id").alias("group_id"))
