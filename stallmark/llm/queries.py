@@ -20,7 +20,8 @@ def _price_groups() -> dict[str, Column]:
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of price per model and day, per model, per day and of all, from one mergeable summary by day."""
     s = cut(percentiles.summarise(table(spark, d, "olx_listings"), F.col("price"), _price_groups()))
-    return percentiles.radix_select(percentiles.with_levels(s, ["model", "day"], LEVELS), ["level", "model", "day"])
+    r = percentiles.radix_select(percentiles.with_levels(s, ["model", "day"], LEVELS), ["level", "model", "day"])
+    return r.withColumn("day", F.col("day").cast("string"))
 
 
 def p1_merged_days(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +151,7 @@ r as (
   select *, row_number() over (partition by level, model, day order by price) as rk,
          count(*) over (partition by level, model, day) as n from l),
 t(qq, q) as (values (500, 0.05::double), (2500, 0.25::double), (5000, 0.5::double), (7500, 0.75::double), (9500, 0.95::double))
-select level, model, day, q, n, price as value from r, t where rk = greatest(1, (qq * n + 9999) // 10000)
+select level, model, cast(day as varchar) as day, q, n, price as value from r, t where rk = greatest(1, (qq * n + 9999) // 10000)
 """,
     "p3_found": r"""
 with recursive m as (
