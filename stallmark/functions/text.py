@@ -78,4 +78,4 @@ def lexicon_count(words: Column, text: Column, name: str) -> Column:
 
 def slug(text: Column) -> Column:
     """Part of a node id: trimmed, lower case, blank, slash and colon to underscore."""
-    return F.translate(F.lower(F.trim(text)), " /:", "___")
+    return F.translate(F.lower(F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), " /:", "___")

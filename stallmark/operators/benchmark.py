@@ -61,7 +61,7 @@ def price_position(df: DataFrame, ident: str, group: str, price: str) -> DataFra
     r = F.col(price) / F.col("group_median")
     return d.join(per, [group, price]).select(
         F.col(ident).alias("id"), F.col(group).alias("model"), F.col(price).alias("price"), F.round(F.col("_upto") / F.col("group_n") * 100, 2).alias("percentile_rank"),
-        F.round(F.col(price) - F.col("group_median"), 4).alias("delta"), F.round(r, 4).alias("ratio"),
+        F.round(F.col(price) - F.col("group_median"), 6).alias("delta"), F.round(r, 6).alias("ratio"),
         F.when(r - 1 <= -0.35, 1).otherwise(0).alias("flag_35"), F.when(r - 1 <= -0.5, 1).otherwise(0).alias("flag_50"),
     )
 

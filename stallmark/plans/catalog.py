@@ -61,7 +61,7 @@ def price_thresholds(spark, d):
 
 
 @query(f"""{_MED} select record_id as id, model, price, round(cume_dist() over (partition by model order by price) * 100, 2) as percentile_rank,
-round(price - group_median, 4) as delta, round(price / group_median, 4) as ratio,
+round(price - group_median, 6) as delta, round(price / group_median, 6) as ratio,
 case when price / group_median - 1 <= -0.35 then 1 else 0 end as flag_35, case when price / group_median - 1 <= -0.5 then 1 else 0 end as flag_50 from d""")
 def price_position(spark, d):
     return benchmark.price_position(olx(spark, d), "record_id", "model", "price")
@@ -98,12 +98,12 @@ def normalize_price(spark, d):
 # --- sightings and audits --------------------------------------------------------------------------------------------
 
 
-@query("""select listing_id, arg_min(title, (epoch_us(t), record_id)) as title, arg_min(price, (epoch_us(t), record_id)) as price, min(t) as first_seen_at, max(t) as last_seen_at,
+@query("""select listing_id, arg_min(title, (epoch_us(t), record_id)) as title, arg_min(price, (epoch_us(t), record_id)) as price, min(epoch_us(t)) as first_seen_at, max(epoch_us(t)) as last_seen_at,
 count(*) as observation_count, coalesce(array_to_string(list_sort(list(distinct q) filter (q is not null)), ', '), '') as search_queries
 from (select listing_id, record_id, coalesce(title, '') as title, coalesce(price, -1) as price, collection_metadata.collected_at as t, discovery_context.query as q from olx_listings) where listing_id is not null group by 1""")
 def canonical_listings(spark, d):
     o = olx(spark, d)
-    return listings.canonical_listings(o, "listing_id", ["seen", "record_id"], {"title": F.coalesce("title", F.lit("")), "price": F.coalesce("price", F.lit(-1.0))}, "seen", F.col("query"))
+    return listings.canonical_listings(o, "listing_id", ["seen", "record_id"], {"title": F.coalesce("title", F.lit("")), "price": F.coalesce("price", F.lit(-1.0))}, "seen", F.col("query")).withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("first_seen_at", "last_seen_at")})
 
 
 _AUDIT = {"title": "title", "description": "description", "price": "price", "location": "location", "posted_at": "posted_at", "model": "product.model", "brand": "product.brand", "storage": "product.storage"}
@@ -423,15 +423,21 @@ def graph_edges(spark, d):
     return _edges(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("a").alias("left_ends"))
 
 
-_SLUG = "translate(lower(trim({})), ' /:', '___')"
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {q(parsing.BLANKS)}, '', 'g')"
+
+
+def _slug_sql(x: str) -> str:
+    return f"translate(lower({_strip_sql(x)}), ' /:', '___')"
+
 
 
 @query(f"""select kind, count(distinct id) as nodes from (select 'LISTING' as kind, listing_id as id from olx_listings where listing_id is not null
-union all select 'PRODUCT', 'product:' || {_SLUG.format('product.model')} from olx_listings where product.model is not null union all select 'CITY', 'city:' || {_SLUG.format('location')} from olx_listings where trim(location) <> ''
+union all select 'PRODUCT', 'product:' || {_slug_sql('product.model')} from olx_listings where product.model is not null union all select 'CITY', 'city:' || {_slug_sql('location')} from olx_listings where {_strip_sql('location')} <> ''
 union all select 'MEDIA', media_a from image_matches where media_a is not null union all select 'MEDIA', media_b from image_matches where media_b is not null) group by 1""")
 def graph_nodes(spark, d):
     o, m = table(spark, d, "olx_listings"), table(spark, d, "image_matches")
-    parts = [("LISTING", o, F.col("listing_id")), ("PRODUCT", o, F.concat(F.lit("product:"), text.slug(F.col("product.model")))), ("CITY", o.filter("trim(location) <> ''"), F.concat(F.lit("city:"), text.slug(F.col("location")))), ("MEDIA", m, F.col("media_a")), ("MEDIA", m, F.col("media_b"))]
+    parts = [("LISTING", o, F.col("listing_id")), ("PRODUCT", o, F.concat(F.lit("product:"), text.slug(F.col("product.model")))), ("CITY", o.filter(parsing.strip(F.col("location")) != ""), F.concat(F.lit("city:"), text.slug(F.col("location")))), ("MEDIA", m, F.col("media_a")), ("MEDIA", m, F.col("media_b"))]
     every = None
     for kind, df, c in parts:
         p = df.select(F.lit(kind).alias("kind"), c.alias("id")).filter("id is not null")
@@ -526,11 +532,11 @@ def claim_mismatch(spark, d):
 
 @query(f"""{_MED}, t as (select o.record_id, length(coalesce(o.title, '')) as title_chars, case when o.description is null then null else length(o.description) end as description_chars, len(o.contact_signals) as contacts,
 case when o.price > 0 and not isnan(o.price) then round(ln(1 + o.price), 6) end as log_price, o.location is null as location_missing from olx_listings o)
-select t.*, d.group_n as benchmark_n, round(d.price / d.group_median, 4) as price_ratio from t left join d using (record_id)""")
+select t.*, d.group_n as benchmark_n, round(d.price / d.group_median, 6) as price_ratio from t left join d using (record_id)""")
 def feature_table(spark, d):
     """One row a record; 0 is observed absence, null is not available (no benchmark, no description)."""
     o = olx(spark, d)
-    m = benchmark.with_median(o, "model", "price").select("record_id", F.col("group_n").alias("benchmark_n"), F.round(F.col("price") / F.col("group_median"), 4).alias("price_ratio"))
+    m = benchmark.with_median(o, "model", "price").select("record_id", F.col("group_n").alias("benchmark_n"), F.round(F.col("price") / F.col("group_median"), 6).alias("price_ratio"))
     return o.select(
         "record_id", F.length(F.coalesce("title", F.lit(""))).cast("bigint").alias("title_chars"), F.length("description").cast("bigint").alias("description_chars"), F.size("contact_signals").cast("bigint").alias("contacts"),
         F.when((F.col("price") > 0) & ~F.isnan("price"), F.round(F.log1p("price"), 6)).alias("log_price"), F.col("location").isNull().alias("location_missing"),
@@ -574,8 +580,8 @@ def anomaly_persistence(spark, d):
     return j.withColumn("times_flagged", F.col("price_space").cast("int") + F.col("full_space").cast("int")).filter("times_flagged > 0").select(F.col("id").cast("bigint").alias("record_id"), "times_flagged")
 
 
-@query("select event_type, date_trunc('hour', ts) as window_start, count(*) as n, round(sum(value), 4) as total, count(distinct user_id) as users from events group by 1, 2")
+@query("select event_type, epoch_us(date_trunc('hour', ts)) as window_start, count(*) as n, round(sum(value), 4) as total, count(distinct user_id) as users from events group by 1, 2")
 def event_windows(spark, d):
     """Extension: tumbling hours of the event stream, the batch form of the streaming query."""
     e = table(spark, d, "events")
-    return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count_distinct("user_id").alias("users")).select("event_type", F.col("w.start").alias("window_start"), "n", "total", "users")
+    return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count_distinct("user_id").alias("users")).select("event_type", F.unix_micros(F.col("w.start").cast("timestamp")).alias("window_start"), "n", "total", "users")

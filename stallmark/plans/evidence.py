@@ -220,8 +220,8 @@ def pca_2d(spark, d):
     return x.select("record_id", F.round(part(0), 5).alias("pc1"), F.round(part(1), 5).alias("pc2"))
 
 
-@query("select event_id, user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as previous_ts from events qualify row_number() over (partition by user_id order by ts, event_id) <= 3")
+@query("select event_id, user_id, epoch_us(ts) as ts, epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as previous_ts from events qualify row_number() over (partition by user_id order by ts, event_id) <= 3")
 def first_events(spark, d):
     """First three events of each user with the time before: a top-k per key."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", "user_id", "ts", F.lag("ts").over(w).alias("previous_ts"), F.row_number().over(w).alias("r")).filter("r <= 3").drop("r")
+    return table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.unix_micros(F.lag("ts").over(w).cast("timestamp")).alias("previous_ts"), F.row_number().over(w).alias("r")).filter("r <= 3").drop("r")
