@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallmark.session import spread
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 ROUNDS = 10
 
@@ -308,4 +310,4 @@ def redact_table(df: DataFrame, ident: str, fields: dict[str, bool], key: str =
                     rows.append((rid, name, red, cases))
             yield pd.DataFrame(rows, columns=["record_id", "field", "redacted", "mentions"])
 
-    return src.mapInPandas(run, "record_id bigint, field string, redacted string, mentions array<struct<pii_kind:string,occurrence:bigint>>")
+    return spread(src).mapInPandas(run, "record_id bigint, field string, redacted string, mentions array<struct<pii_kind:string,occurrence:bigint>>")

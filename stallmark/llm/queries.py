@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallmark.llm import canonical, components, leakage, mixing, neardup, percentiles, pii, products, truncation
-from stallmark.session import cut, table
+from stallmark.session import cut, spread, table
 
 LEVELS = {"model_day": ["model", "day"], "model": ["model"], "day": ["day"], "all": []}
 
@@ -104,7 +104,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = mixing.count_tokens(table(spark, d, "documents"), "text").withColumn("weight", mixing.quality(F.col("text")))
+    docs = mixing.count_tokens(spread(table(spark, d, "documents").select("doc_id", "source", "text")), "text").withColumn("weight", mixing.quality(F.col("text")))
     return mixing.mix(docs, table(spark, d, "mix_targets"))
 
 
