@@ -26,6 +26,7 @@ TITLE_CONDITIONS = {
 CUES = [
     r"\b\d+\s*(?:days?|months?|years?)\s*old\b",
     r"\b(?:100%|9\d%|8\d%|7\d%)\s*(?:battery\s*health|battery|bh)\b",
+    r"\bbattery\s*(?:health)?\s*(?:100%|9\d%|8\d%|7\d%)\b",
     r"\b(?:brand\s+new|sealed|seal\s*pack|box\s*pack|unopened|unused)\b",
     r"\b(?:like\s+new|mint\s*condition|scratchless|flawless)\b",
     r"\b(?:second\s*hand|pre[- ]owned|used)\b",

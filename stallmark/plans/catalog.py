@@ -215,9 +215,7 @@ def normalize_condition(spark, d):
 @query(f"""select record_id, case when t is null then 'UNKNOWN' {' '.join(f'when regexp_matches(t, {q(p)}) then {q(n)}' for n, p in parsing.TITLE_CONDITIONS.items())} else 'UNKNOWN' end as condition_class,
 array_to_string(list_concat({', '.join(f'''list_transform(regexp_extract_all(coalesce(t, ''), {q(p)}), x -> trim(x))''' for p in parsing.CUES[:2])}), '|') as first_cues from (select record_id, lower(title) as t from synthetic_listings)""")
 def condition_parse(spark, d):
-    t = F.lower(F.coalesce("title", F.lit("")))
-    cues = F.flatten(F.array(*[F.transform(F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)), lambda x: F.trim(x)) for p in parsing.CUES[:2]]))
-    return table(spark, d, "synthetic_listings").select("record_id", parsing.condition_title(F.col("title")).alias("condition_class"), F.array_join(cues, "|").alias("first_cues"))
+    return table(spark, d, "synthetic_listings").select("record_id", parsing.condition_title(F.col("title")).alias("condition_class"), F.array_join(parsing.condition_cues(F.col("title")), "|").alias("cues"))
 
 
 @query(f"""select kind, count(*) as n from (select case when t is null then 'device' {' '.join(f'when regexp_matches(t, {q(p)}) then {q(n.lower())}' for n, p in parsing.ACCESSORIES.items())} else 'device' end as kind
@@ -332,7 +330,7 @@ def lexicon_features(spark, d):
 
 @query(f"with {_DOCS} select lang, count(*) as n, {', '.join(f'round(avg(case when {_lex_sql(n)} > 0 then 1.0 else 0.0 end), 4) as {n}_rate' for n in list(text.LEXICONS)[:4])} from d group by 1")
 def lexicon_by_family(spark, d):
-    return _docs(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.when(text.lexicon_count(F.col("tokens"), F.col("norm"), n) > 0, 1.0).otherwise(0.0)), 4).alias(f"{n}_rate") for n in list(text.LEXICONS)[:4]])
+    return _docs(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.when(text.lexicon_count(F.col("tokens"), F.col("norm"), n) > 0, 1.0).otherwise(0.0)), 4).alias(f"{n}_rate") for n in text.LEXICONS])
 
 
 _STOP = ", ".join(map(q, textops.STOPWORDS))
