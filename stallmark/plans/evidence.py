@@ -95,9 +95,12 @@ def claims(spark, d):
 
 @query("select record_id, title, cast(price as double) as price, nullif(regexp_extract(listing_url, 'iid-(\\d+)', 1), '') as listing_id from olx_listings where title is not null and price is not null and price > 0 and price < 1000000 and not contains(title, '\"') and not contains(title, '<') and not contains(title, '\\')")
 def html_listing(spark, d):
-    """Pages are rendered from listings and parsed back."""
-    o = table(spark, d, "olx_listings").filter("title is not null and price > 0 and price < 1000000 and not contains(title, '\"') and not contains(title, '<')").filter(~F.contains("title", F.lit("\\")))
-    page = F.concat(F.lit('<html><script type="application/ld+json">{"name":"'), "title", F.lit('","offers":{"price":"'), F.col("price").cast("string"), F.lit('"}}</script></html>'))
+    """Pages are rendered from all listings and parsed back; a title or price that a listing lacks is null."""
+    o, p = table(spark, d, "olx_listings"), F.nanvl(F.col("price").cast("double"), F.lit(None))
+    # decimal digits in place of an exponent; outside of the range a decimal holds in full, doubles print as they are
+    plain = F.when(F.abs(p).between(1e7, 1e27), p.cast("decimal(38,10)").cast("string")).otherwise(p.cast("string"))
+    ld = F.replace(F.to_json(F.struct(F.col("title").alias("name"), F.struct(plain.alias("price")).alias("offers"))), F.lit("<"), F.lit("\\u003c"))
+    page = F.concat(F.lit('<html><script type="application/ld+json">'), ld, F.lit("</script></html>"))
     p = html.listing_pages(o.select(F.concat_ws("#", "listing_url", F.col("record_id").cast("string")).alias("url"), page.alias("html")))
     return p.select(F.substring_index("url", "#", -1).cast("bigint").alias("record_id"), "title", "price", "listing_id")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 LD = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
 STATE = r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'
+SCRIPT = r"(?is)<script\b[^>]*>.*?</script>"
 
 
 def _found(html: Column, pattern: str) -> Column:
@@ -17,10 +18,10 @@ def listing_pages(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     """Title, description, price, place and images of a listing page: linked data, else state, else patterns; null if absent."""
     h = F.col(html)
     ld, st = F.regexp_extract(h, LD, 1), F.regexp_extract(h, STATE, 1)
-    get = F.get_json_object
+    get, seen = F.get_json_object, F.regexp_replace(h, SCRIPT, " ")  # patterns are for what the page shows
     base = "$.props.pageProps.ad"
-    title = F.coalesce(get(ld, "$.name"), get(st, f"{base}.title"), _found(h, r"(?is)<h1[^>]*>(.*?)</h1>"), _found(h, r"(?is)<title[^>]*>(.*?)</title>"))
-    amount = F.coalesce(get(ld, "$.offers.price"), get(st, f"{base}.price.value"), F.replace(F.nullif(F.regexp_extract(h, r"₹\s*([\d,]+)", 1), F.lit("")), F.lit(","), F.lit("")))
+    title = F.coalesce(get(ld, "$.name"), get(st, f"{base}.title"), _found(seen, r"(?is)<h1[^>]*>(.*?)</h1>"), _found(seen, r"(?is)<title[^>]*>(.*?)</title>"))
+    amount = F.coalesce(get(ld, "$.offers.price"), get(st, f"{base}.price.value"), F.replace(F.nullif(F.regexp_extract(seen, r"₹\s*([\d,]+)", 1), F.lit("")), F.lit(","), F.lit("")))
     images = F.array_distinct(F.regexp_extract_all(h, F.lit(r'(https?://[^\s"\'<>]+?\.(?:jpe?g|png|webp))'), F.lit(1)))
     return pages.select(
         F.col(url).alias("url"), F.coalesce(F.nullif(F.regexp_extract(F.col(url), r"iid-(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(F.col(url), r"/(\d{6,})", 1), F.lit(""))).alias("listing_id"),

@@ -19,3 +19,12 @@ def test_all_cues_claims_and_lexicons(spark, tmp_path):
     docs = spark.createDataFrame([(1, "s", "en", "phone, company office"), (2, "s", "en", "phone")], "doc_id bigint, source string, lang string, text string")
     r = run(spark, tmp_path, "lexicon_by_family", documents=docs)[0].asDict()
     assert set(r) == {"lang", "n", *(f"{n}_rate" for n in text.LEXICONS)} and r["company_claims_rate"] == 0.5
+
+
+def test_html_listing_takes_every_row(spark, tmp_path):
+    titles = ['TV 32" \\ new', "a</script><h1>b</h1> & c", None, "rent ₹ 700", "plain", "far", "tiny", "nan"]
+    prices = [1e6, 25000000.0, 5.0, None, -1.0, 12345678.25, 0.0001, float("nan")]
+    rows = [(i, t, p, f"https://x.example/iid-{i}234567") for i, (t, p) in enumerate(zip(titles, prices))]
+    o = spark.createDataFrame(rows, "record_id bigint, title string, price double, listing_url string")
+    got = {r.record_id: (r.title, r.price, r.listing_id) for r in run(spark, tmp_path, "html_listing", olx_listings=o)}
+    assert got == {i: (t, None if p != p else p, f"{i}234567") for i, t, p, _ in rows}
