@@ -60,14 +60,34 @@ def exact_reuse(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return d.select(F.col(ident).alias("id"), F.md5(F.col(text)).alias("text_hash")).join(first, "text_hash").select("id", "class_id", "copies", "text_hash")
 
 
+def _word_sets(docs: DataFrame, ident: str, words: str, block: str | None, least: int) -> DataFrame:
+    d = docs.select(F.col(ident).alias("id"), (F.col(block) if block else F.lit("")).alias("block"), F.array_sort(F.array_distinct(words)).alias("w"))
+    return d.filter(F.size("w") >= least)
+
+
+def jaccard_classes(docs: DataFrame, ident: str, words: str, block: str | None, pairs: DataFrame, least: int = 3) -> DataFrame:
+    """``id``, ``block``, ``class_id``, ``copies``, ``links`` of every document with ``least`` words.
+
+    ``class_id`` is the smallest id with the same words in the block, by which ``pairs`` of ``jaccard_pairs`` name the
+    class; ``links`` counts the other documents that reach the threshold, copies included.
+    """
+    d = _word_sets(docs, ident, words, block, least)
+    reps = d.groupBy("block", "w").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    size = reps.select("block", F.col("class_id").alias("other"), "copies")
+    both = pairs.select("block", F.explode(F.array(F.struct(F.col("a").alias("class_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("class_id"), F.col("a").alias("other")))).alias("p")).select("block", "p.*")
+    far = both.join(size, ["block", "other"]).groupBy("block", "class_id").agg(F.sum("copies").alias("far"))
+    reps = reps.join(far, ["block", "class_id"], "left").select(F.col("block").alias("of"), F.col("w").alias("v"), "class_id", "copies", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    return d.join(reps, F.col("block").eqNullSafe(F.col("of")) & (F.col("w") == F.col("v"))).select("id", "block", "class_id", "copies", "links")
+
+
 def jaccard_pairs(docs: DataFrame, ident: str, words: str, block: str | None, threshold: float, least: int = 3) -> DataFrame:
     """All pairs of different word sets with Jaccard >= threshold inside a block; equal sets are one class.
 
     Exact prefix-filter join: words are ordered from rare to frequent; two sets that reach the threshold share one of
     their first |x| - ceil(t |x|) + 1 words; pairs are length-filtered before the sets are compared. Rows come out per
-    class representative (``a`` < ``b``); ``membership`` has the classes.
+    class representative (``a`` < ``b``); ``jaccard_classes`` has the members.
     """
-    d = docs.select(F.col(ident).alias("id"), (F.col(block) if block else F.lit("")).alias("block"), F.array_sort(F.array_distinct(words)).alias("w")).filter(F.size("w") >= least)
+    d = _word_sets(docs, ident, words, block, least)
     reps = d.groupBy("block", "w").agg(F.min("id").alias("id"))
     order = reps.select("block", F.explode("w").alias("t")).groupBy("block", "t").agg(F.count(F.lit(1)).alias("df"))
     toks = reps.select("block", "id", F.size("w").alias("n"), F.explode("w").alias("t")).join(order, ["block", "t"])

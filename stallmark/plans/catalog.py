@@ -362,6 +362,12 @@ def jaccard_pairs(spark, d):
     return textops.jaccard_pairs(_docs(spark, d), "doc_id", "tokens", "source", 0.8)
 
 
+@query()
+def jaccard_classes(spark, d):
+    """One row a document: its class of equal word sets, by which jaccard_pairs names it, and its number of links."""
+    return textops.jaccard_classes(_docs(spark, d), "doc_id", "tokens", "source", cut(jaccard_pairs(spark, d)))
+
+
 @query()
 def shared_phrase_pairs(spark, d):
     return textops.shared_phrases(_docs(spark, d), "doc_id", "tokens")

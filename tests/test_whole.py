@@ -28,3 +28,11 @@ def test_html_listing_takes_every_row(spark, tmp_path):
     o = spark.createDataFrame(rows, "record_id bigint, title string, price double, listing_url string")
     got = {r.record_id: (r.title, r.price, r.listing_id) for r in run(spark, tmp_path, "html_listing", olx_listings=o)}
     assert got == {i: (t, None if p != p else p, f"{i}234567") for i, t, p, _ in rows}
+
+
+def test_jaccard_copies_have_a_class_and_links(spark, tmp_path):
+    texts = ["a b c d e f g h i", "i h g f e d c b a a", "a b c d e f g h", "a b c d e f g h", "x y z", "x y"]
+    docs = spark.createDataFrame([(i, "s", "en", t) for i, t in enumerate(texts)], "doc_id bigint, source string, lang string, text string")
+    assert [(r.a, r.b) for r in run(spark, tmp_path, "jaccard_pairs", documents=docs)] == [(0, 2)]
+    got = sorted((r.id, r.class_id, r.copies, r.links) for r in run(spark, tmp_path, "jaccard_classes"))
+    assert got == [(0, 0, 2, 3), (1, 0, 2, 3), (2, 2, 2, 3), (3, 2, 2, 3), (4, 4, 1, 0)]
