@@ -182,7 +182,7 @@ def integrity_checks(spark, d):
     return (
         one("repeated_match_id", m.groupBy("match_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
         .unionByName(one("missing_side", m.filter(empty(F.col("a")) | empty(F.col("b"))))).unionByName(one("self_match", m.filter("a = b")))
-        .unionByName(one("unknown_listing", m.filter(~empty(F.col("a"))).select("a").distinct().join(ids, "a", "left_anti")))
+        .unionByName(one("unknown_listing", m.select(F.explode(F.array("a", "b")).alias("a")).filter(~empty(F.col("a"))).distinct().join(ids, "a", "left_anti")))
     )
 
 

@@ -36,3 +36,10 @@ def test_jaccard_copies_have_a_class_and_links(spark, tmp_path):
     assert [(r.a, r.b) for r in run(spark, tmp_path, "jaccard_pairs", documents=docs)] == [(0, 2)]
     got = sorted((r.id, r.class_id, r.copies, r.links) for r in run(spark, tmp_path, "jaccard_classes"))
     assert got == [(0, 0, 2, 3), (1, 0, 2, 3), (2, 2, 2, 3), (3, 2, 2, 3), (4, 4, 1, 0)]
+
+
+def test_unknown_listings_of_both_sides(spark, tmp_path):
+    m = spark.createDataFrame([(1, "l1", "L8"), (2, "l9", "l1 "), (3, "L9", " "), (4, None, "l7")], "match_id bigint, listing_a string, listing_b string")
+    o = spark.createDataFrame([("L1",), (None,)], "listing_id string")
+    got = {r.check_name: r.failures for r in run(spark, tmp_path, "integrity_checks", image_matches=m, olx_listings=o)}
+    assert got == {"repeated_match_id": 0, "missing_side": 2, "self_match": 0, "unknown_listing": 3}
