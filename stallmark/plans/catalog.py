@@ -385,14 +385,19 @@ def knn_topk(spark, d):
     return vectors.cosine_topk(e, "vec_id", "embedding", 10, e.filter("vec_id % 50 = 0"))
 
 
+def _knn_all(spark, d):
+    """The ten nearest of every vector, for counts and statistics."""
+    return vectors.cosine_topk(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+
+
 @query(f"with {_KNN} select rank, round(avg(similarity), 8) as mean_similarity, round(stddev_samp(similarity), 8) as std_similarity from k where q % 50 = 0 group by rank")
 def knn_rank_profile(spark, d):
-    return knn_topk(spark, d).groupBy("rank").agg(F.round(F.avg("similarity"), 8).alias("mean_similarity"), F.round(F.stddev_samp("similarity"), 8).alias("std_similarity"))
+    return _knn_all(spark, d).groupBy("rank").agg(F.round(F.avg("similarity"), 8).alias("mean_similarity"), F.round(F.stddev_samp("similarity"), 8).alias("std_similarity"))
 
 
 @query(f"with {_KNN} select count(*) filter (similarity >= 0.5) as at_50, count(*) filter (similarity >= 0.7) as at_70, count(*) filter (similarity >= 0.9) as at_90, count(distinct least(q, n) || '-' || greatest(q, n)) filter (similarity >= 0.5) as pairs_50 from k where q % 50 = 0")
 def visual_pairs(spark, d):
-    k = knn_topk(spark, d)
+    k = _knn_all(spark, d)
     pair = F.concat_ws("-", F.least("q", "n"), F.greatest("q", "n"))
     return k.agg(F.count_if(F.col("similarity") >= 0.5).alias("at_50"), F.count_if(F.col("similarity") >= 0.7).alias("at_70"), F.count_if(F.col("similarity") >= 0.9).alias("at_90"), F.count_distinct(F.when(F.col("similarity") >= 0.5, pair)).alias("pairs_50"))
 

@@ -43,3 +43,10 @@ def test_unknown_listings_of_both_sides(spark, tmp_path):
     o = spark.createDataFrame([("L1",), (None,)], "listing_id string")
     got = {r.check_name: r.failures for r in run(spark, tmp_path, "integrity_checks", image_matches=m, olx_listings=o)}
     assert got == {"repeated_match_id": 0, "missing_side": 2, "self_match": 0, "unknown_listing": 3}
+
+
+def test_vector_statistics_count_every_vector(spark, tmp_path):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [-1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    r = run(spark, tmp_path, "visual_pairs", embeddings=e)[0]
+    assert (r.at_50, r.at_70, r.at_90, r.pairs_50) == (2, 2, 2, 1)
+    assert {p.rank: p.mean_similarity for p in run(spark, tmp_path, "knn_rank_profile")} == {1: 0.33166667, 2: -0.99833333}
