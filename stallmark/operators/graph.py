@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallmark.operators.skew import find_hot, join_with_hot
-from stallmark.session import cut, release
+from stallmark.operators.skew import FLOOR, find_hot, join_with_hot
+from stallmark.session import cut, discard, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,23 +16,28 @@ def components(edges: DataFrame) -> DataFrame:
     the number of rounds is logarithmic and every round is two pre-aggregated shuffles.
     """
     e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    seen = None
+    seen, done = None, 0
     while True:
         # the number of edges and two checksums say whether a round changed anything
         state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
         if state == seen:
             break
-        seen, total = state, 2 * state[0]
+        seen, total, old = state, 2 * state[0], e
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours of a vertex go to its smallest neighbour (or itself)
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        big = join_with_hot(both, low, ["a"], find_hot(both, ["a"], total), F.col("b")).filter("b > a")
-        down = cut(big.select(F.col("m").alias("a"), "b").filter("a < b").distinct())
+        hot = find_hot(both, ["a"], total)
+        down = join_with_hot(both, low, ["a"], hot, F.col("b")).filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        if total > FLOOR:  # hot keys are looked for, so the pairs are read more than once
+            down = cut(down)
         # small star: a vertex and its smaller neighbours go to the smallest of them
         least = down.groupBy("b").agg(F.min("a").alias("m"))
         star = join_with_hot(down, least, ["b"], find_hot(down, ["b"], total), F.col("a"))
         e = cut(star.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(star.select(F.col("m").alias("a"), "b")).filter("a < b").distinct())
-        release(edges.sparkSession)
+        discard(old, down, *([hot] if hot is not None else []))
+        done += 1
+        if done % 4 == 0:
+            release(edges.sparkSession)
     return e.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 

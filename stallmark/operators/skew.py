@@ -13,9 +13,11 @@ from stallmark.session import cut
 #: the list of them has a proven bound and may be broadcast whatever the size of the data.
 HOT_SHARE = 1000
 SALTS = 16
+#: A key of fewer rows than this never slows a task down, so it is not looked for.
+FLOOR = 200_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], floor: int = 20_000, total: int | None = None) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], floor: int = FLOOR, total: int | None = None) -> DataFrame:
     """Keys with more than max(floor, rows / HOT_SHARE) rows: at most HOT_SHARE rows come out."""
     total = df.count() if total is None else total
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(floor, total / HOT_SHARE)).select(*keys)
@@ -57,7 +59,7 @@ def salted_join(
     return b.join(s, on, how).drop("_salt", "_s_salt", *[f"_s_{k}" for k in keys])
 
 
-def find_hot(df: DataFrame, keys: list[str], total: int, floor: int = 20_000) -> DataFrame | None:
+def find_hot(df: DataFrame, keys: list[str], total: int, floor: int = FLOOR) -> DataFrame | None:
     """The hot keys of a materialised table of ``total`` rows, or None: no key of at most ``floor`` rows is hot."""
     if total <= floor:
         return None

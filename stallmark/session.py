@@ -47,7 +47,8 @@ def cut(df: DataFrame) -> DataFrame:
 
     A written table is preferred to checkpoint() here: a checkpointed frame keeps the size estimate of its plan, and the
     estimates of joins of joins multiply over the rounds of an iteration until the driver is busy with numbers of
-    millions of digits. A table has the size of its files. It is removed when the driver ends.
+    millions of digits. A table has the size of its files. It is removed by
+    :func:`discard`, or when the driver ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -55,7 +56,18 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that :func:`cut` wrote and no later plan reads; other frames are left alone."""
+    for f in frames:
+        path = getattr(f, "_cut_path", None)
+        if path is not None:
+            where = f.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(f.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
