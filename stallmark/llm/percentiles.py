@@ -1,128 +1,26 @@
-"""Percentiles of very large numeric columns by radix selection.
+"""Percentiles of very large numeric columns: radix selection over mergeable summaries.
 
-A double is mapped to a signed 64-bit integer that sorts like it. The histogram of the highest digit of these
-integers finds, for every target rank, the digit that holds it; only the values under that digit are counted by the
-next digit, and so on. Each step moves digit counts (at most 2**16 a group) and never the values of a group, so no
-group is ever sorted or gathered in one task.
-
-The summary of a part of the data (a day, a file) is the table (group, integer, count). Summaries add up: the union
-of the summaries of the parts, summed, is the summary of the whole. With ``bits`` = 64 results are exact order
-statistics; with fewer bits a result is at most a factor 1 + 2**(12 - bits) below the exact one in magnitude (an
-error of one digit), and a group keeps at most 2**bits counters.
+The method (order-preserving integers, digit histograms, only the digit of each target rank followed) is in
+``stallmark.operators.percentiles``, which other operators of the library use too; this module fixes the quantiles.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from stallmark.operators.skew import HOT_SHARE, salted_join
+from stallmark.operators import percentiles as core
+from stallmark.operators.percentiles import key_value, merge, order_key, summarise, with_levels
 from stallmark.session import cut
 
-DIGIT_BITS = 16
-QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
-
-
-def order_key(value: Column) -> Column:
-    """Order-preserving map from double to bigint; -0.0 counts as 0.0, null and NaN give null."""
-    x = value.cast("double")
-    a = F.abs(x)
-    e0 = F.floor(F.log2(a)).cast("int")
-    e = F.when(F.pow(F.lit(2.0), e0) > a, e0 - 1).when(F.pow(F.lit(2.0), e0 + 1) <= a, e0 + 1).otherwise(e0)
-    mantissa = ((a / F.pow(F.lit(2.0), e) - 1) * F.lit(float(2**52))).cast("bigint")
-    bits = (
-        F.when(a == 0, F.lit(0).cast("bigint"))
-        .when(a == F.lit(float("inf")), F.lit(0x7FF << 52).cast("bigint"))
-        .when(a < F.lit(2.0**-1022), (a / F.lit(5e-324)).cast("bigint"))
-        .otherwise(F.shiftleft((e + 1023).cast("bigint"), 52) + mantissa)
-    )
-    return F.when(F.isnan(x), None).otherwise(F.when(x < 0, -bits).otherwise(bits))
-
-
-def key_value(key: Column) -> Column:
-    """Inverse of :func:`order_key`."""
-    bits = F.abs(key)
-    e = F.shiftright(bits, 52).cast("int")
-    m = bits.bitwiseAND(F.lit((1 << 52) - 1).cast("bigint")).cast("double")
-    mag = (
-        F.when(e == 0, m * F.lit(5e-324))
-        .when(e == 0x7FF, F.lit(float("inf")))
-        .otherwise((F.lit(1.0) + m / F.lit(float(2**52))) * F.pow(F.lit(2.0), e - 1023))
-    )
-    return F.when(key < 0, -mag).otherwise(mag)
-
+__all__ = ["QUANTILES", "key_value", "merge", "order_key", "radix_select", "summarise", "with_levels"]
 
-def summarise(df: DataFrame, value: Column, groups: dict[str, Column], bits: int = 64) -> DataFrame:
-    """Mergeable summary: group columns, ``key`` (highest ``bits`` bits kept, rounded towards zero), ``cnt``.
-
-    Null and NaN values are left out; an empty input gives an empty summary.
-    """
-    if not 12 < bits <= 64:
-        raise ValueError("bits must be 13 to 64")
-    key, low = order_key(value), F.lit(64 - bits)
-    if bits < 64:
-        mag = F.call_function("shiftleft", F.call_function("shiftright", F.abs(key), low), low)
-        key = F.when(key < 0, -mag).otherwise(mag)
-    return (
-        df.select(*[c.alias(n) for n, c in groups.items()], key.alias("key"))
-        .filter(F.col("key").isNotNull())
-        .groupBy(*groups, "key")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-
-
-def merge(*summaries: DataFrame) -> DataFrame:
-    """Summary of the union of the parts the given summaries describe."""
-    every = reduce(DataFrame.unionByName, summaries)
-    return every.groupBy(*[c for c in every.columns if c != "cnt"]).agg(F.sum("cnt").alias("cnt"))
-
-
-def with_levels(summary: DataFrame, groups: list[str], levels: dict[str, list[str]]) -> DataFrame:
-    """Repeat a summary once a level; a level keeps the named groups and has null in the others."""
-    dtypes = dict(summary.dtypes)
-    rows = F.array(
-        *[
-            F.struct(F.lit(n).alias("level"), *[(F.col(g) if g in keep else F.lit(None).cast(dtypes[g])).alias(g) for g in groups])
-            for n, keep in levels.items()
-        ]
-    )
-    return summary.select(F.explode(rows).alias("_l"), "key", "cnt").select("_l.*", "key", "cnt")
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 def radix_select(summary: DataFrame, groups: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """Order statistics of rank ceil(q * n) per group of a summary: groups, ``q``, ``n``, ``value``.
 
-    Repeated values count as often as they occur; a group of one value gives it for every q.
+    Repeated values count as often as they occur; a group of one value gives it for every q; an empty summary gives no
+    rows. The summary is written once, each digit reads it again.
     """
-    size = summary.groupBy(*groups).agg(F.sum("cnt").alias("n"))
-    per = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(round(q * 10_000)).cast("bigint").alias("_q")) for q in quantiles]))
-    target = (
-        size.select("*", per.alias("_t")).select(*groups, "n", "_t.q", "_t._q")
-        .withColumn("rank", F.greatest(F.lit(1).cast("bigint"), F.expr("(_q * n + 9999) div 10000")))
-        .withColumn("prefix", F.lit(0).cast("bigint")).drop("_q")
-    )
-    total = summary.count()
-    shifts = list(range(64 - DIGIT_BITS, -1, -DIGIT_BITS))
-    for i, shift in enumerate(shifts):
-        digit = F.shiftright("key", shift) if shift else F.col("key")
-        if i == 0:
-            under = summary.withColumn("prefix", F.lit(0).cast("bigint"))
-        else:
-            hot = target.filter(F.col("held") > max(20_000, total / HOT_SHARE)).select(*groups, "prefix").distinct()
-            only = target.select(*groups, "prefix").distinct()
-            under = salted_join(summary.withColumn("prefix", F.shiftright("key", shifts[i - 1])), only, [*groups, "prefix"], hot, F.col("key"))
-        hist = under.groupBy(*groups, "prefix", digit.alias("digit")).agg(F.sum("cnt").alias("held"))
-        parent = [*groups, "prefix"]
-        ends = hist.withColumn("upto", F.expr(f"sum(held) over (partition by {', '.join(f'`{c}`' for c in parent)} order by digit)"))
-        target = target.drop("held")
-        t = target.select(*[F.col(c).alias(f"_t_{c}") for c in parent], *[c for c in target.columns if c not in parent])
-        on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in parent])
-        target = (
-            ends.join(t, on & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("held")))
-            .select(*groups, "q", "n", (F.col("rank") - F.col("upto") + F.col("held")).alias("rank"), F.col("digit").alias("prefix"), "held")
-        )
-        if shift:
-            target = cut(target)
-    return target.select(*groups, "q", "n", key_value(F.col("prefix")).alias("value"))
+    return core.radix_select(cut(summary), groups, quantiles)
