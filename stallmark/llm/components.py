@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallmark.operators.skew import find_hot, join_with_hot
-from stallmark.session import cut, release
+from stallmark.session import cut, discard, release
 
 ROUNDS = 3
 BETA = 0.2
@@ -37,27 +37,33 @@ def _decompose(edges: DataFrame, hot: DataFrame | None, seed: int, rounds: int)
     return reach.select("v", F.col("c").alias("cluster"))
 
 
-def connected_components(vertices: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``id``, ``group_id`` (the smallest id of the group) for each distinct non-null ``id`` of ``vertices``.
+def connected_components(vertices: DataFrame | None, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``id``, ``group_id`` (the smallest id of the group) for each distinct non-null ``id`` of ``vertices`` and ``pairs``.
 
-    ``pairs`` has the links in its first two columns, in any order and as often as they come; links with a null side
-    or with both sides equal link nothing. Ids that occur only in ``pairs`` come out too. Empty inputs give no rows.
+    ``pairs`` has the links in its first two columns, in any order and as often as they come, and is read once; links
+    with a null side or with both sides equal link nothing, but the ids in them come out. ``vertices`` may be None.
+    Empty inputs give no rows.
     """
     a, b = pairs.columns[:2]
-    ends = pairs.select(F.col(a).alias("v"), F.col(b).alias("w")).filter(F.col("v").isNotNull() & F.col("w").isNotNull())
-    one = cut(ends.filter(F.col("v") != F.col("w")).select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct())
+    ends = cut(pairs.select(F.col(a).alias("v"), F.col(b).alias("w")).filter(F.col("v").isNotNull() | F.col("w").isNotNull()).select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct())
+    one = cut(ends.filter(F.col("v") < F.col("w")))  # least and greatest skip null: a link with a null side has both equal
     levels: list[tuple[DataFrame, int]] = []
     while total := one.count():
         both = one.select("v", "w", F.lit(1).alias("hop")).unionByName(one.select(F.col("w").alias("v"), F.col("v").alias("w"), F.lit(1).alias("hop")))
         hot = find_hot(both, ["v"], 2 * total)  # by degree, so it serves both ends of an edge
         loops = both.select("v").distinct().select("v", F.col("v").alias("w"), F.lit(0).alias("hop"))
-        to = cut(_decompose(cut(both.unionByName(loops)), hot, len(levels) + 1, rounds))
+        edges = cut(both.unionByName(loops))
+        to = cut(_decompose(edges, hot, len(levels) + 1, rounds))
         levels.append((to, 2 * total))
         left = join_with_hot(one, to, ["v"], hot, F.col("w")).select(F.col("cluster").alias("a"), F.col("w").alias("v"))
         right = join_with_hot(left, to.withColumnRenamed("cluster", "b"), ["v"], hot, F.col("a"))
-        one = cut(right.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("w")).distinct())
-        release(pairs.sparkSession)
-    ids = vertices.select(F.col(vertices.columns[0]).alias("id")).filter(F.col("id").isNotNull()).unionByName(ends.select(F.col("v").alias("id"))).unionByName(ends.select(F.col("w").alias("id"))).distinct()
+        last, one = one, cut(right.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("w")).distinct())
+        discard(last, edges, *([hot] if hot is not None else []))
+        if len(levels) % 3 == 0:
+            release(pairs.sparkSession)
+    named_ends = ends.select(F.explode(F.array("v", "w")).alias("id"))
+    ids = named_ends if vertices is None else vertices.select(F.col(vertices.columns[0]).alias("id")).filter(F.col("id").isNotNull()).unionByName(named_ends)
+    ids = ids.distinct()
     if not levels:
         return ids.select("id", F.col("id").alias("group_id"))
     # compose: what a vertex of level i became at the end is what its cluster became
@@ -66,6 +72,7 @@ def connected_components(vertices: DataFrame, pairs: DataFrame, rounds: int = RO
         known = end.select(F.col("v").alias("cluster"), F.col("cluster").alias("last"))
         end = join_with_hot(to, known, ["cluster"], find_hot(to, ["cluster"], bound), F.col("v"), "left").select("v", F.coalesce("last", "cluster").alias("cluster"))
     end = cut(end)
+    discard(*[to for to, _ in levels])
     smallest = end.groupBy("cluster").agg(F.min("v").alias("group_id"))
     named = join_with_hot(end, smallest, ["cluster"], find_hot(end, ["cluster"], levels[0][1]), F.col("v")).select(F.col("v").alias("id"), "group_id")
     return ids.join(named, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))

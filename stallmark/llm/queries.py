@@ -52,7 +52,7 @@ def _listing_id(c: str) -> Column:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "image_matches").select(_listing_id("listing_a").alias("a"), _listing_id("listing_b").alias("b"))
-    g = components.connected_components(m.select(F.explode(F.array("a", "b")).alias("id")), m)
+    g = components.connected_components(None, m)
     return g.select(F.col("id").alias("listing_id"), "group_id")
 
 
