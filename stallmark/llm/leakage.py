@@ -7,7 +7,8 @@ which at most two are touched always hold such a run. Hits are then extended: an
 hits decides whether at least ``span`` consecutive words of the item occur with at most one word in seven replaced or
 with a word put in next to it.
 
-An opening that other items share (an instruction) is cut from the items before anything is counted.
+An opening that other items share (an instruction) is cut from the items before anything is counted. Training and test
+fingerprints are joined by shuffle; a bit map of the test side sifts the training side first.
 """
 
 from __future__ import annotations
@@ -20,11 +21,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallmark.llm.sifting import bits_for, build, held
+from stallmark.operators.skew import find_hot, join_with_hot
+from stallmark.session import cut
+
 K, WINDOW, SPAN, EVERY = 3, 2, 14, 7
-#: Up to this many items are sent to all tasks; a larger set is joined block by block.
-ITEMS_AT_ONCE = 20_000
+#: The bit map that sifts documents has at most 2**28 bits (32 MB); more items than it holds well cost time, not results.
+MOST_BITS = 28
 
-_MARKUP = regex.compile(r"<[^<>]{0,200}>|&(?:[a-z]{2,8}|#\d{1,6});|https?://\S+")
+_MARKUP = regex.compile(r"</?[A-Za-z!?][^<>]*>|&(?:[a-z]{2,8}|#\d{1,6});|https?://\S+", regex.IGNORECASE)
+_SENTENCE = regex.compile(r"(?<=[.!?:])\s+")
 _JOIN = regex.compile(r"[­​-‏⁠﻿'’‘`´]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -145,65 +151,94 @@ def _longest(left: int, right: int, edits: list[int], every: int) -> int:
     return best
 
 
-def prepare_items(rows: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
-    """Items as words, without an opening sentence that other items share."""
-    first: dict[str, int] = {}
-    split = [(i, regex.split(r"(?<=[.!?:])\s+", (t or "").strip())) for i, t in rows]
-    for _, s in split:
-        head = " ".join(plain_words(s[0]))
-        first[head] = first.get(head, 0) + 1
-    out = []
-    for i, s in split:
-        while len(s) > 1 and first.get(" ".join(plain_words(s[0])), 0) > 1:
-            s = s[1:]
-        out.append((i, plain_words(" ".join(s))))
-    return out
+def plain_items(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """``item_id``, ``words`` (array<string>) of each item without the opening sentences that other items share.
+
+    An opening counts as shared if the first sentence of two different texts is the same in plain words; that is counted
+    over all items, whatever their number. The last sentence of an item always stays. Null ids and texts are left out.
+    """
+    src = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("t")).dropna().distinct()
+
+    def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [[" ".join(plain_words(s)) for s in _SENTENCE.split(_MARKUP.sub(" ", t).strip())] for t in pdf["t"]]
+            yield pd.DataFrame({"item_id": pdf["item_id"], "text_key": pdf["text_key"], "parts": parts})
+
+    s = cut(src.withColumn("text_key", F.xxhash64("t")).mapInPandas(sentences, "item_id bigint, text_key bigint, parts array<string>"))
+    shared = s.groupBy(F.col("parts")[0].alias("part")).agg(F.count_distinct("text_key").alias("k")).filter("k > 1").select("part", F.lit(True).alias("shared"))
+    each = s.select("item_id", "text_key", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "part")).join(shared, "part", "left")
+    first = each.filter(F.col("shared").isNull() | (F.col("at") == F.col("n") - 1)).groupBy("item_id", "text_key").agg(F.min("at").alias("from"))
+    words = F.filter(F.split(F.array_join(F.slice("parts", F.col("from") + 1, F.size("parts")), " "), " "), lambda w: w != "")
+    return s.join(first, ["item_id", "text_key"]).select("item_id", words.alias("words"))
+
+
+def _fingerprints(items: DataFrame) -> DataFrame:
+    """``iid``, ``ipos``, ``key`` of the winnowed word runs of items (``iid``, ``words``); ``again`` is the key for a second look."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary()
+        for pdf in batches:
+            out = []
+            for iid, words in zip(pdf["iid"], pdf["words"]):
+                at, g = winnow(vocabulary.hashes(list(words)))
+                out.append(pd.DataFrame({"iid": iid, "ipos": at.astype(np.int32), "key": g.view(np.int64), "again": (g * _M1).view(np.int64)}))
+            if out:
+                yield pd.concat(out)
 
-def _search(batches: Iterator[pd.DataFrame], items: list[tuple[int, list[str]]], span: int) -> Iterator[pd.DataFrame]:
+    return items.mapInPandas(run, "iid bigint, ipos int, key bigint, again bigint")
+
+
+def _sift(batches: Iterator[pd.DataFrame], table: np.ndarray, bits: int, least: int) -> Iterator[pd.DataFrame]:
+    """Documents with at least ``least`` fingerprints that items may have: words, positions and keys of these."""
     vocabulary = Vocabulary()
-    index: dict[int, list[tuple[int, int]]] = {}
-    for n, (_, words) in enumerate(items):
-        for p, g in zip(*[x.tolist() for x in winnow(vocabulary.hashes(words))]):
-            index.setdefault(g, []).append((n, p))
-    keys = np.array(sorted(index), dtype=np.uint64)
     for pdf in batches:
-        found: list[tuple[int, int, int]] = []
+        rows = []
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
             words = plain_words(text)
-            if len(words) < min(span, 4) or not len(keys):
-                continue
             at, g = winnow(vocabulary.hashes(words))
-            where = np.searchsorted(keys, g)
-            where[where == len(keys)] = 0
-            ok = keys[where] == g
-            if not ok.any():
+            if len(g) < least:
                 continue
-            hits: dict[int, list[tuple[int, int]]] = {}
-            for p, key in zip(at[ok].tolist(), g[ok].tolist()):
-                for n, q in index[key]:
-                    hits.setdefault(n, []).append((p, q))
-            for n, h in hits.items():
-                got = leaked_span(words, items[n][1], h, span)
-                if got >= span:
-                    found.append((doc_id, items[n][0], got))
-        yield pd.DataFrame(found, columns=["doc_id", "item_id", "words"])
+            ok = held(table, bits, g)
+            ok &= held(table, bits, g * _M1)
+            if int(ok.sum()) >= least:
+                rows.append((doc_id, " ".join(words), at[ok].astype(np.int32), g[ok].view(np.int64)))
+        yield pd.DataFrame(rows, columns=["doc_id", "words", "dpos", "keys"])
+
+
+def _extend(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        got = [leaked_span(d.split(" "), list(i), [(h["dpos"], h["ipos"]) for h in hits], span) for d, i, hits in zip(pdf["doc_words"], pdf["words"], pdf["hits"])]
+        out = pd.DataFrame({"doc_id": pdf["doc_id"], "item_id": pdf["item_id"], "words": got})
+        yield out[out["words"] >= span]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN) -> DataFrame:
     """``doc_id``, ``item_id``, ``words`` (longest leaked run) for every document that holds ``span`` words of an item.
 
-    Null and empty texts hold nothing. Items shorter than ``span`` words never leak. The items are one list a task of at
-    most ITEMS_AT_ONCE; a longer list is searched in blocks of that size, each document meeting every block.
+    Null ids and null or empty texts hold nothing. Items shorter than ``span`` words never leak. Documents with one id count as
+    one. The corpus is read once, whatever the number of items: a bit map of the items' fingerprints (at most
+    2**MOST_BITS bits) sifts the documents, what is left is joined with the fingerprints by shuffle, with hot
+    fingerprints and hot items split over tasks.
     """
-    it = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.col("i").isNotNull())
-    n = it.count()
-    blocks = max(1, -(-n // ITEMS_AT_ONCE))
-    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    out = None
-    for b in range(blocks):
-        part = it if blocks == 1 else it.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        rows = prepare_items([(r.i, r.t) for r in part.collect()])  # at most about ITEMS_AT_ONCE rows
-        hit = d.mapInPandas(lambda batches, rows=rows: _search(batches, rows, span), "doc_id bigint, item_id bigint, words int")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    it = plain_items(items, item_id, item_text).filter(F.size("words") >= span)
+    it = cut(it.withColumn("iid", F.monotonically_increasing_id()))
+    fp = cut(_fingerprints(it.select("iid", "words")))
+    n = fp.count()
+    bits = bits_for(2 * n, 32, MOST_BITS)
+    table = docs.sparkSession.sparkContext.broadcast(build(fp.select(F.explode(F.array("key", "again")).alias("key")), bits))
+    # 14 words with two edits leave two common fingerprints at least, other demands one
+    least = 2 if span >= 2 * EVERY else 1
+    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).dropna()
+    left = d.mapInPandas(lambda b: _sift(b, np.frombuffer(table.value, dtype=np.uint8), bits, least), "doc_id bigint, words string, dpos array<int>, keys array<bigint>")
+    left = cut(left.withColumn("did", F.monotonically_increasing_id()))
+    hits = left.select("did", F.explode(F.arrays_zip("dpos", "keys")).alias("h")).select("did", "h.dpos", F.col("h.keys").alias("key"))
+    hits = cut(hits.join(fp.select("key").distinct().hint("merge"), "key", "left_semi"))
+    total = hits.count()
+    met = join_with_hot(hits, fp.select("key", "iid", "ipos"), ["key"], find_hot(hits, ["key"], total), F.col("did"))
+    pairs = met.groupBy("did", "iid").agg(F.collect_list(F.struct("dpos", "ipos")).alias("hits")).filter(F.size("hits") >= least)
+    pairs = cut(pairs)
+    pairs = join_with_hot(pairs, it, ["iid"], find_hot(pairs, ["iid"], pairs.count()), F.col("did"))
+    pairs = pairs.hint("merge").join(left.select("did", "doc_id", F.col("words").alias("doc_words")), "did")
+    found = pairs.select("doc_id", "item_id", "doc_words", "words", "hits").mapInPandas(lambda b: _extend(b, span), "doc_id bigint, item_id bigint, words int")
+    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+
