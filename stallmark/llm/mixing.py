@@ -23,8 +23,11 @@ from pyspark.sql.window import Window
 from stallmark.llm.percentiles import order_key
 from stallmark.session import cut
 
+#: Vocabulary file of a public tokenizer where the session sets no stallmark.tokenizer.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 DIGITS = (48, 34, 20, 0)
+#: Texts and characters encoded at once: what an encoding holds besides its ids is many times the text.
+SLICE_TEXTS, SLICE_CHARS = 128, 500_000
 
 
 @lru_cache(maxsize=2)
@@ -37,17 +40,39 @@ def _tokenizer(path: str):
     return t
 
 
-def count_tokens(df: DataFrame, text: str, path: str = TOKENIZER, out: str = "tokens") -> DataFrame:
-    """Add the number of tokens of a text column under a public tokenizer; null and empty texts have none."""
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of at most SLICE_TEXTS texts and SLICE_CHARS characters, a longer text alone."""
+    part: list[str] = []
+    chars = 0
+    for t in texts:
+        if part and (len(part) >= SLICE_TEXTS or chars + len(t) > SLICE_CHARS):
+            yield part
+            part, chars = [], 0
+        part.append(t)
+        chars += len(t)
+    if part:
+        yield part
+
+
+def count_tokens(df: DataFrame, text: str, path: str | None = None, out: str = "tokens") -> DataFrame:
+    """Add the number of tokens of a text column under a public tokenizer; null and empty texts have none.
+
+    The vocabulary file is ``path``, else what the session sets as stallmark.tokenizer, else TOKENIZER.
+    """
+    file = path or df.sparkSession.conf.get("stallmark.tokenizer", TOKENIZER)
 
     @F.pandas_udf(T.LongType())
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        t = _tokenizer(path)
+        t = _tokenizer(file)
+        encode = getattr(t, "encode_batch_fast", t.encode_batch)
         for s in batches:
-            yield pd.Series([len(e.ids) for e in t.encode_batch(s.fillna("").tolist(), add_special_tokens=False)], index=s.index, dtype="int64")
+            counts: list[int] = []
+            for part in _slices(s.fillna("").tolist()):
+                counts += [len(e) for e in encode(part, add_special_tokens=False)]
+            yield pd.Series(counts, index=s.index, dtype="int64")
 
     return df.withColumn(out, tokens(F.col(text)))
 
