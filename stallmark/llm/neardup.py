@@ -9,7 +9,7 @@ Jaccard t differ in at most (1 - t) / (1 + t) * (a + b) words, so this step lose
 word by word.
 
 A pair of similarity s shares a block with probability 1 - (1 - s**rows)**blocks: 0.991 at 0.70, 0.9997 at 0.75 and
-1 - 2e-7 at 0.80 for the defaults. No block is capped and no pair dropped.
+1 - 2e-7 at 0.80 for the defaults. No block is capped and no pair dropped; crowded blocks are joined on rare words.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallmark.operators.skew import balanced_join
+from stallmark.operators.skew import balanced_join, find_hot, join_with_hot
 from stallmark.session import cut
 
 BLOCKS, ROWS = 80, 8
+#: Classes in a block, or records in a class, from which comparing all with all is split up.
+HOT_BLOCK = 1_000
 
 
 def word_set(*texts: Column) -> Column:
@@ -75,18 +77,44 @@ def classes(df: DataFrame, ident: str, words: Column, least: int) -> DataFrame:
     return balanced_join(cut(d), same, ["content"], F.col("id")).select("id", "cid", "words")
 
 
+def _candidates(b: DataFrame, key: list[str], near: Column, hot: DataFrame | None = None) -> DataFrame:
+    """``cid_a`` < ``cid_b`` that share the key and pass ``near``, once each; hot keys are split over tasks."""
+    x, y = (b.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "size", "lo", "hi")]) for s in "ab")
+    j = x.hint("merge").join(y, key) if hot is None else join_with_hot(x, y, key, hot, F.col("cid_a"))
+    return j.filter(near).select("cid_a", "cid_b").distinct()
+
+
 def similar_classes(reps: DataFrame, threshold: float, blocks: int = BLOCKS, rows: int = ROWS) -> DataFrame:
-    """``cid_a`` < ``cid_b``, ``similarity`` for all classes whose word sets reach the threshold. ``reps``: ``cid``, ``words``."""
+    """``cid_a`` < ``cid_b``, ``similarity`` for all classes whose word sets reach the threshold. ``reps``: ``cid``, ``words``.
+
+    No join is broadcast: blocks and words grow with the data. A block that more than HOT_BLOCK classes share (a template)
+    would compare all of them with each other; within such a block the sets are joined on their rarest words instead.
+    Of two sets that reach the threshold one of the first n - ceil(t * n) + 1 words, ordered from rare to frequent, is
+    in both, so this loses nothing.
+    """
+    reps = cut(reps)
     hashed = reps.select("cid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    fp = fingerprint_blocks(hashed, blocks, rows)
+    fp = cut(fingerprint_blocks(hashed, blocks, rows))
     b = fp.select("cid", "size", "lo", "hi", F.explode("blocks").alias("block"))
-    x, y = (b.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "size", "lo", "hi")]) for s in "ab")
     apart = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
     near = F.lit((1 - threshold) / (1 + threshold) + 1e-9) * (F.col("size_a") + F.col("size_b"))
     long = F.greatest("size_a", "size_b") * F.lit(threshold - 1e-9) <= F.least("size_a", "size_b")
-    pairs = x.join(y, "block").filter((F.col("cid_a") < F.col("cid_b")) & long & (apart <= near)).select("cid_a", "cid_b").distinct()
-    pairs = pairs.join(reps.select(F.col("cid").alias("cid_a"), F.col("words").alias("wa")), "cid_a")
-    pairs = pairs.join(reps.select(F.col("cid").alias("cid_b"), F.col("words").alias("wb")), "cid_b")
+    near = (F.col("cid_a") < F.col("cid_b")) & long & (apart <= near)
+    full = cut(b.groupBy("block").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > HOT_BLOCK).select("block"))
+    if full.isEmpty():
+        pairs = _candidates(b, ["block"], near)
+    else:
+        cold = b.join(full.hint("merge"), "block", "left_anti")
+        crowd = cut(b.join(full.hint("merge"), "block", "left_semi"))
+        words = reps.join(crowd.select("cid").distinct().hint("merge"), "cid", "left_semi").select("cid", F.size("words").alias("n"), F.explode("words").alias("word"))
+        df = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+        words = cut(words)
+        ranked = join_with_hot(words, df, ["word"], find_hot(words, ["word"], words.count()), F.col("cid")).groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))  # a set of words a row
+        first = ranked.select("cid", F.slice("w.word", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1).alias("first"))
+        keyed = cut(crowd.join(first.hint("merge"), "cid").select("block", "cid", "size", "lo", "hi", F.explode("first").alias("word")))
+        pairs = _candidates(cold, ["block"], near).unionByName(_candidates(keyed, ["block", "word"], near, find_hot(keyed, ["block", "word"], keyed.count(), floor=HOT_BLOCK))).distinct()
+    pairs = pairs.join(reps.select(F.col("cid").alias("cid_a"), F.col("words").alias("wa")).hint("merge"), "cid_a")
+    pairs = pairs.join(reps.select(F.col("cid").alias("cid_b"), F.col("words").alias("wb")).hint("merge"), "cid_b")
     shared = F.size(F.array_intersect("wa", "wb"))
     return (
         pairs.select("cid_a", "cid_b", shared.alias("s"), (F.size("wa") + F.size("wb")).alias("n"))
@@ -108,8 +136,14 @@ def near_duplicates(df: DataFrame, ident: str, words: Column, threshold: float =
 
 
 def expand_pairs(member: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All record pairs ``record_a`` < ``record_b`` of similar or equal classes."""
+    """All record pairs ``record_a`` < ``record_b`` of similar or equal classes; large classes are split over tasks."""
+    member = cut(member)
     ma, mb = (member.select(F.col("id").alias(f"id_{s}"), F.col("cid").alias(f"cid_{s}")) for s in "ab")
-    across = pairs.select("cid_a", "cid_b").join(ma, "cid_a").join(mb, "cid_b").select("id_a", "id_b")
-    within = ma.join(mb, F.col("cid_a") == F.col("cid_b")).filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
-    return across.unionByName(within).select(F.least("id_a", "id_b").alias("record_a"), F.greatest("id_a", "id_b").alias("record_b"))
+    hot = find_hot(member, ["cid"], member.count(), floor=HOT_BLOCK)
+    pairs = pairs.select("cid_a", "cid_b")
+    across = pairs.join(ma.hint("merge"), "cid_a") if hot is None else join_with_hot(ma, pairs, ["cid_a"], hot.withColumnRenamed("cid", "cid_a"), F.col("id_a"))
+    across = across.join(mb.hint("merge"), "cid_b") if hot is None else join_with_hot(mb, across, ["cid_b"], hot.withColumnRenamed("cid", "cid_b"), F.col("id_b"))
+    x, y = ma.withColumnRenamed("cid_a", "cid"), mb.withColumnRenamed("cid_b", "cid")
+    within = x.hint("merge").join(y, "cid") if hot is None else join_with_hot(x, y, ["cid"], hot, F.col("id_a"))
+    every = across.select("id_a", "id_b").unionByName(within.filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b"))
+    return every.select(F.least("id_a", "id_b").alias("record_a"), F.greatest("id_a", "id_b").alias("record_b"))
