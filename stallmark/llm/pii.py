@@ -2,9 +2,10 @@
 
 Mentions are found in a fixed order, a later kind never looking into what an earlier one took: email addresses, numbers
 that are no personal ones (device, bill, order, ticket and part numbers), identity numbers, phone numbers, addresses,
-names. Numbers are validated by their format, names by the words around them.
+names. Numbers are validated by their format, a bare run of twelve digits by its check digit, names by the words around
+them.
 
-Validated numbers (and dates, on request) become format-preserving pseudonyms: the characters are permuted within their
+Validated numbers (and dates, where asked for) become format-preserving pseudonyms: the characters are permuted within their
 alphabets by a keyed Feistel network, so equal values stay linked across documents, the format stays readable and the
 holder of the key can turn them back. Numbers are canonical first: spelled-out, full-width and look-alike digits and
 country codes make no difference.
@@ -15,12 +16,13 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import hmac
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallmark.session import spread
@@ -81,6 +83,48 @@ def pseudonym_date(day: dt.date, key: bytes, first: dt.date = dt.date(1900, 1, 1
     return first + dt.timedelta(days=permute((day - first).days, (last - first).days + 1, key, b"date", back))
 
 
+def verhoeff(digits: str) -> bool:
+    """Whether the last digit is the check digit of the others, in the dihedral group of order ten."""
+
+    def times(a: int, b: int) -> int:
+        turn = (a + b) % 5 if a < 5 else (a - b) % 5
+        return turn + 5 * ((a >= 5) ^ (b >= 5))
+
+    shift, x = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4), 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c)
+        for _ in range(i % 8):
+            d = shift[d]
+        x = times(x, d)
+    return x == 0
+
+
+_MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+_DATE = regex.compile(r"(?<![\d/.-])(?:(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})|(?P<d>\d{1,2})(?P<sep>[/.-])(?P<m>\d{1,2})(?P=sep)(?P<y>\d{4})|(?P<d>\d{1,2})\s(?P<name>\p{L}{3,9})\s(?P<y>\d{4}))(?![\d/-])")
+
+
+def find_dates(text: str) -> list[tuple[int, int, dt.date]]:
+    """Start, end and day of each valid date: 2023-05-13, 13/05/2023 (or with . or -), 13 May 2023."""
+    out = []
+    for m in _DATE.finditer(text):
+        month = _MONTHS.get(m["name"][:3].lower(), 0) if m["name"] else int(m["m"])
+        try:
+            out.append((m.start(), m.end(), dt.date(int(m["y"]), month, int(m["d"]))))
+        except ValueError:
+            continue
+    return out
+
+
+def date_like(day: dt.date, written: str) -> str:
+    """A day written as another date was written."""
+    if regex.fullmatch(r"\d{4}-\d{2}-\d{2}", written):
+        return day.isoformat()
+    m = regex.fullmatch(r"\d{1,2}([/.-])\d{1,2}\1\d{4}", written)
+    if m:
+        return f"{day.day:02d}{m[1]}{day.month:02d}{m[1]}{day.year}"
+    return f"{day.day} {list(_MONTHS)[day.month - 1].capitalize()} {day.year}"
+
+
 # --- finding -------------------------------------------------------------------------------------------------------
 
 _WIDE = {0xFF10 + i: 48 + i for i in range(10)} | {0x0966 + i: 48 + i for i in range(10)} | {0xFF0B: ord("+"), 0xFF20: ord("@"), 0xFF0E: ord("."), 0x00A0: 32, 0x2011: ord("-"), 0x2013: ord("-"), 0x2019: ord("'")}
@@ -108,7 +152,7 @@ _ID = regex.compile(
     r"|\b(?P<n>[a-z]{5}\d{4}[a-z])\b"
     r"|\b(?P<n>[a-z]{2}[ -]?\d{2}[ -]?(?:19|20)\d{2}[ -]?\d{7})(?!\d)"
     r"|\b(?P<n>[a-z]{3}\d{7})(?!\w)"
-    r"|(?<![\d+-])(?P<n>(?!91[6-9])[2-9]\d{11})(?!\d)",
+    r"|(?<![\d+-])(?P<n>(?P<bare>(?!91[6-9])[2-9]\d{11}))(?!\d)",
     _I,
 )
 _PHONE = regex.compile(
@@ -141,8 +185,8 @@ _FULL = rf"(?<![\p{{L}}])(?:{_TITLE}\s+)?(?:\p{{L}}\.\s*)?{_W}(?:\s(?:\p{{L}}\.\
 _ONE = rf"(?<![\p{{L}}])(?:{_TITLE}\s+)?(?:\p{{L}}\.\s*)?{_W}"
 _KIN = r"(?:brother|sister|father|mother|son|daughter|wife|husband|uncle|aunt|cousin|friend|nephew|niece|neighbour|colleague|dad|mom)"
 _GAP = r"[ \t]+"
-#: Cue (a plain string that must occur in the lower-case text), how far before it the name may begin (0: the name follows
-#: the cue), whether the rule is for titles only, and the pattern.
+#: Cue (a plain string that must occur in the lower-case text), how many words before it the name may begin (0: the name
+#: follows the cue), whether the rule is for titles only, and the pattern.
 _NAME_RULES = [
     (cue, before, title, regex.compile(p, _I))
     for cue, before, title, p in (
@@ -156,14 +200,14 @@ _NAME_RULES = [
         ("contact ", 0, True, rf"\bcontact{_GAP}(?P<n>{_FULL})"),
         ("seller ", 0, True, rf"\bseller{_GAP}(?P<n>{_FULL})"),
         ("ask for ", 0, True, rf"\bask{_GAP}for{_GAP}(?P<n>{_FULL})"),
-        (" here", 48, False, rf"(?:^|(?<=[\n.!?\x01\x02])\s*)(?P<n>{_FULL})(?={_GAP}here\s*,)"),
+        (" here", 8, False, rf"(?:^|(?<=[\n.!?\x01\x02])\s*)(?P<n>{_FULL})(?={_GAP}here\s*,)"),
         ("- ", 0, False, rf"(?:^|(?<=[\n.!?\x01\x02])[ \t]*|\n)[-–—~][ \t]*(?P<n>{_FULL})(?=\s*(?:\n|$|[.!])|{_GAP}\p{{Lu}})"),
-        (" - \x01p", 48, False, rf"(?:^|(?<=[\n.!?)\x01\x02])\s*)(?P<n>{_FULL})(?=[ ]-[ ]\x01P)"),
+        (" - \x01p", 8, False, rf"(?:^|(?<=[\n.!?)\x01\x02])\s*)(?P<n>{_FULL})(?=[ ]-[ ]\x01P)"),
         ("regards", 0, False, rf"\bregards\b[ ,]*\n?(?P<n>{_FULL})(?!{_GAP}?(?:sales|team|care|store|shop|support|traders|electronics|mobiles))(?![\p{{L}}])"),
         ("it was ", 0, False, rf"\bit{_GAP}was{_GAP}(?P<n>{_FULL})(?='s\b)"),
         ("pay to ", 0, False, rf"\bpay{_GAP}to{_GAP}(?P<n>{_FULL})(?={_GAP}only\b|[.,\n]|$)"),
         ("yours ", 0, False, rf"\byours{_GAP}(?:truly|faithfully|sincerely)[ ,]*\n?(?P<n>{_FULL})"),
-        (" will be ", 48, False, rf"(?P<n>{_FULL})(?={_GAP}will{_GAP}be{_GAP}(?:at{_GAP}home|there|available))"),
+        (" will be ", 8, False, rf"(?P<n>{_FULL})(?={_GAP}will{_GAP}be{_GAP}(?:at{_GAP}home|there|available))"),
         ("ask for ", 0, False, rf"\bask{_GAP}for{_GAP}(?P<n>{_FULL})(?={_GAP}(?:at|on|in)\b|\s*[.,\n]|$)"),
         ("name is ", 0, False, rf"\bmy{_GAP}name{_GAP}is{_GAP}(?P<n>{_FULL})"),
         ("meet ", 0, False, rf"\bmeet{_GAP}(?P<n>{_FULL})(?={_GAP}(?:for|at|on|in)\b|{_GAP}?\x01)"),
@@ -201,6 +245,34 @@ def canonical_phone(raw: str) -> str:
     return digits[1:] if len(digits) == 11 and digits[0] == "0" and digits[1] in "6789" else digits
 
 
+def _back(text: str, at: int, words: int) -> int:
+    """Start of the text ``words`` words before a position, however long the words are: no pattern reaches further."""
+    inside = False
+    while at > 0:
+        blank = text[at - 1].isspace()
+        if inside and blank:
+            words -= 1
+            if words == 0:
+                return at
+        inside = not blank
+        at -= 1
+    return 0
+
+
+def _ahead(text: str, at: int, words: int) -> int:
+    """End of the text ``words`` words after a position."""
+    inside = False
+    while at < len(text):
+        blank = text[at].isspace()
+        if inside and blank:
+            words -= 1
+            if words == 0:
+                return at
+        inside = not blank
+        at += 1
+    return len(text)
+
+
 def find_mentions(text: str | None, title: bool = False) -> list[Mention]:
     """All mentions of a text in order; none for null and empty texts."""
     if not text:
@@ -223,6 +295,8 @@ def find_mentions(text: str | None, title: bool = False) -> list[Mention]:
     if digits >= 4:
         for m in _ID.finditer("".join(chars)):
             s, e = m.span("n")
+            if m["bare"] and not verhoeff(m["bare"]):
+                continue  # neither named nor grouped: only the check digit tells
             before = low[max(0, s - 14) : s]
             if regex.search(r"(?:serial|imei|order|invoice|bill|part|model|ticket)\b[^.]*$", before):
                 continue
@@ -241,7 +315,7 @@ def find_mentions(text: str | None, title: bool = False) -> list[Mention]:
         for w in _STREET_WORD.finditer(line):
             if w.start() < done:
                 continue
-            m = _ADDRESS.search(line, max(done, w.start() - 100), min(len(line), w.end() + 100))
+            m = _ADDRESS.search(line, max(done, _back(line, w.start(), 16)), _ahead(line, w.end(), 24))
             if m and m.end() >= w.end() and "\x01" not in m[0]:
                 take("address", m.start(), m.end(), m[0].lower(), "A")
                 done = m.end()
@@ -253,7 +327,7 @@ def find_mentions(text: str | None, title: bool = False) -> list[Mention]:
         if before:
             spans, at = [], low.find(cue)
             while at >= 0:
-                m = p.search(line, max(0, at - before), min(len(line), at + 30))
+                m = p.search(line, _back(line, at, before), _ahead(line, at + len(cue), 8))
                 if m:
                     spans.append(m.span("n"))
                 at = low.find(cue, at + 1)
@@ -276,23 +350,38 @@ def placeholder(m: Mention, key: bytes) -> str:
     return f"[{m.kind.upper()}]"
 
 
-def redact(text: str | None, key: bytes, title: bool = False) -> tuple[str | None, list[Mention]]:
-    """Text with placeholders, and the mentions; null stays null."""
+def redact(text: str | None, key: bytes, title: bool = False, dates: bool = False) -> tuple[str | None, list[Mention]]:
+    """Text with placeholders, and the mentions; null stays null. ``dates``: valid dates outside of mentions become pseudonyms too."""
     found = find_mentions(text, title)
-    if not found or text is None:
+    if text is None:
         return text, found
+    parts = [(m.start, m.end, placeholder(m, key)) for m in found]
+    if dates:
+        parts += [(s, e, f"[DATE {date_like(pseudonym_date(day, key), text[s:e])}]") for s, e, day in find_dates(text) if all(e <= m.start or s >= m.end for m in found)]
     out, at = [], 0
-    for m in found:
-        out += [text[at : m.start], placeholder(m, key)]
-        at = m.end
+    for s, e, sign in sorted(parts):
+        out += [text[at:s], sign]
+        at = e
     return "".join([*out, text[at:]]), found
 
 
-def redact_table(df: DataFrame, ident: str, fields: dict[str, bool], key: str = "stallmark") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key of the pseudonyms that the session sets as stallmark.pii.key; else one drawn at random for this session."""
+    key = spark.conf.get("stallmark.pii.key", "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("stallmark.pii.key", key)
+    return key
+
+
+def redact_table(df: DataFrame, ident: str, fields: dict[str, bool], key: str, dates: bool = False) -> DataFrame:
     """``record_id``, ``field``, ``redacted``, ``mentions`` (array of pii_kind, occurrence) for every row and field.
 
-    ``fields`` names the text columns and whether each is a title. Rows stay rows; nothing is shuffled.
+    ``fields`` names the text columns and whether each is a title; ``key`` is the secret of the pseudonyms and must not be
+    empty. Rows stay rows; nothing is shuffled; null and empty texts stay as they are.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     src = df.select(F.col(ident).cast("bigint").alias("record_id"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])
     secret, names = key.encode(), list(fields.items())
 
@@ -301,7 +390,7 @@ def redact_table(df: DataFrame, ident: str, fields: dict[str, bool], key: str =
             rows = []
             for i, (name, title) in enumerate(names):
                 for rid, text in zip(pdf["record_id"], pdf[f"f{i}"]):
-                    red, found = redact(text, secret, title)
+                    red, found = redact(text, secret, title, dates)
                     seen: dict[str, int] = {}
                     cases = []
                     for m in found:

@@ -35,13 +35,13 @@ def _synthetic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    r = pii.redact_table(_synthetic(spark, d), "record_id", {"title": True, "description": False})
+    r = pii.redact_table(_synthetic(spark, d), "record_id", {"title": True, "description": False}, pii.session_key(spark))
     return r.select("record_id", "field", F.explode("mentions").alias("m")).select("record_id", "field", "m.pii_kind", "m.occurrence")
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Both texts of every record with placeholders."""
-    r = pii.redact_table(_synthetic(spark, d), "record_id", {"title": True, "description": False})
+    r = pii.redact_table(_synthetic(spark, d), "record_id", {"title": True, "description": False}, pii.session_key(spark))
     return r.select("record_id", "field", "redacted")
 
 

@@ -33,6 +33,10 @@ CASES = [
     ("My name is Venla Hodhigho and I bought it", ["name"]),
     ("Contact the Zovata helpdesk. This is original Sapa stock. Regards, Sapa sales team", []),
     ("Bought from Mr. Yatbokte last year. Bought from Sapa store in May", ["name"]),
+    # twelve bare digits: with and without a valid check digit
+    ("number 234123412346 given", ["id_number"]), ("number 234123412345 given", []),
+    # long words do not shorten the search
+    ("Address: Flat 12B, " + "Verylongname" * 12 + " Residency, Kizobha Road.", ["address"]),
     ("", []), (None, []),
 ]
 
@@ -48,6 +52,26 @@ def test_redaction_keeps_the_rest_and_links_equal_numbers(spark):
     assert a.startswith("call [PHONE ") and a.endswith("] now") and a[5:-4] == b[4:]
     long = "nothing here " * 20_000
     df = spark.createDataFrame([(1, None, "x", "x"), (2, long, None, "y"), (2, long, None, "y")], "record_id bigint, title string, description string, field string")
-    out = pii.redact_table(df, "record_id", {"title": True, "description": False}).collect()
+    out = pii.redact_table(df, "record_id", {"title": True, "description": False}, "secret").collect()
     assert len(out) == 6 and {r.redacted for r in out} == {None, long, "x"}
-    assert pii.redact_table(df.limit(0), "record_id", {"title": True}).count() == 0
+    assert pii.redact_table(df.limit(0), "record_id", {"title": True}, "secret").count() == 0
+
+
+def test_dates_become_dates():
+    text = "born 13/05/1990, sold 2023-05-13, seen 4 June 2021, not 31/02/2020 or 99/99/2020"
+    red = pii.redact(text, KEY, dates=True)[0]
+    assert red.count("[DATE ") == 3 and "31/02/2020 or 99/99/2020" in red and "13/05/1990" not in red
+    assert pii.redact(text, KEY)[0] == text
+    other = pii.redact("again 1990-05-13", KEY, dates=True)[0]
+    d = pii.find_dates(red)
+    assert pii.find_dates(other)[0][2] == d[0][2] and pii.pseudonym_date(d[0][2], KEY, back=True).isoformat() == "1990-05-13"
+
+
+def test_key_is_required(spark):
+    with pytest.raises(ValueError):
+        pii.redact_table(spark.range(0).selectExpr("id record_id", "'' title"), "record_id", {"title": True}, "")
+    assert len(pii.session_key(spark)) == 64 and pii.session_key(spark) == pii.session_key(spark)
+
+
+def test_check_digit():
+    assert pii.verhoeff("2363") and not pii.verhoeff("2364")
