@@ -42,19 +42,9 @@ ACCESSORIES = {
     "CHARGER": r"\b(?:chargers?|adapter|power\s*adapter)\b",
     "CABLE": r"\b(?:cables?|cord)\b",
     "SCREEN_PROTECTOR": r"\b(?:tempered\s*glass|screen\s*guard|screen\s*protector|membrane)\b",
-    "PART": r"\b(?:display\s*panel|motherboard|battery\s*replacement|spare\s*parts?|housing|body)\b",
+    "PART": r"\b(?:display\s*panel|motherboard|battery\s*replacement|spare\s*parts?|housing|body|camera\s*lens\s*glass)\b",
     "ACCESSORY": r"\b(?:dummy|box\s*only|empty\s*box|controller\s*grip|charging\s*dock|cooling\s*fan|stand|earphones?)\b",
 }
-#: Specification patterns; sizes outside of these lists are not taken.
-RAM = r"\b(4|6|8|12|16|24|32)\s*gb\s*(?:ram|memory)\b"
-STORAGE = r"\b(16|32|64|128|256|512)\s*(?:gb|gigabytes?)(?:\s*(?:ssd|rom|storage))?(?:\s|$|,)"
-TERABYTES = r"\b(1|2)\s*(?:tb|terabytes?)\b"
-BATTERY = r"\b(\d{2,3})\s*%\s*(?:battery|bh\b)"
-YEAR = r"\b(201[5-9]|202[0-6])\b"
-SCREEN = r"\b(1[1-7](?:\.\d)?)\s*(?:\"|inch)"
-COLOURS = ["space gray", "rose gold", "graphite", "silver", "gold", "black", "white", "red", "blue", "green", "yellow", "pink", "purple", "grey"]
-
-
 #: Blanks of any kind at both ends.
 BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
@@ -84,9 +74,9 @@ def condition_title(title: Column) -> Column:
 
 
 def condition_cues(title: Column) -> Column:
-    """Distinct cues in the order of the patterns, within one pattern in the order of the text; [] for null."""
-    t = F.coalesce(F.lower(title), F.lit(""))
-    return F.array_distinct(F.flatten(F.array(*[F.transform(F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)), lambda x: F.trim(x)) for p in CUES])))
+    """Distinct cues as written, in the order of the patterns, within one pattern in the order of the text; [] for null."""
+    t = F.coalesce(title, F.lit(""))
+    return F.array_distinct(F.flatten(F.array(*[F.transform(F.regexp_extract_all(t, F.lit(f"(?i)({p})"), F.lit(1)), lambda x: F.trim(x)) for p in CUES])))
 
 
 def accessory(title: Column) -> Column:
@@ -97,27 +87,6 @@ def accessory(title: Column) -> Column:
     return out.otherwise("device")
 
 
-def _number(text: Column, pattern: str, kind: str) -> Column:
-    return F.try_cast(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), kind) if hasattr(F, "try_cast") else F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast(kind)
-
-
-def specifications(title: Column) -> dict[str, Column]:
-    """Memory, storage, battery health (50 to 100), year, screen and colour of a title; null where absent."""
-    t = F.lower(F.coalesce(title, F.lit("")))
-    rest = F.regexp_replace(t, RAM, " ")
-    tb = _number(rest, TERABYTES, "int") * 1024
-    battery = _number(t, BATTERY, "int")
-    colour = F.coalesce(*[F.when(t.rlike(rf"\b{c}\b"), c) for c in COLOURS])
-    return {
-        "ram_gb": _number(t, RAM, "int"),
-        "storage_gb": F.coalesce(tb, _number(rest, STORAGE, "int")),
-        "battery_health_percent": F.when(battery.between(50, 100), battery),
-        "year": _number(t, YEAR, "int"),
-        "screen_size_inches": _number(t, SCREEN, "double"),
-        "color": colour,
-    }
-
-
 def city_and_state(raw: Column) -> tuple[Column, Column]:
     """Comma parts: of three or more the last two, of two both, of one the city alone."""
     parts = F.filter(F.transform(F.split(raw, ","), lambda p: strip(p)), lambda p: p != "")

@@ -14,10 +14,13 @@ KEEP = {"title": "", "listing": r"./\-+₹", "ocr": r"./\-+"}
 WORD_CLASS = r"\p{L}\p{N}_\s"
 
 
-def normalise(text: Column, kind: str = "title") -> Column:
-    """Lower case, everything but words (and the kept signs) to a blank, blanks collapsed; null gives ''."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{WORD_CLASS}{KEEP[kind]}]", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+def normalise(text: Column, kind: str = "title", composed: bool = False) -> Column:
+    """NFKC and lower case, everything but words (and the kept signs) to a blank, blanks collapsed; null gives ''.
+
+    ``composed`` says that the text went through :func:`compat` already.
+    """
+    t = F.lower(F.coalesce(text if composed else compat(text), F.lit("")))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, f"[^{WORD_CLASS}{KEEP[kind]}]", " "), r"\s+", " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -26,6 +29,23 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def compat(text: Column) -> Column:
+    """NFKC of a text; only texts with other than ASCII characters are sent to Python."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def sanitised(text: Column) -> Column:
+    """NFKC, blanks collapsed, paragraph breaks kept, empty gives null."""
+    return paragraphs(compat(text))
+
+
+def title_case(text: Column) -> Column:
+    """First letter of each run of letters in upper case, the others in lower case; null stays null."""
+    chars = F.split(text, "")
+    cased = F.transform(chars, lambda c, i: F.when((i > 0) & F.get(chars, i - 1).rlike(r"\p{L}"), F.lower(c)).otherwise(F.upper(c)))
+    return F.array_join(cased, "")
+
+
 def paragraphs(text: Column) -> Column:
     """Collapse blanks within paragraphs, keep paragraph breaks, drop empty ones; an empty result is null."""
     parts = F.transform(F.split(text, r"\n\s*\n+"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
@@ -40,30 +60,45 @@ def tokens(normalised: Column) -> Column:
 
 
 def script(text: Column) -> Column:
-    """latin, devanagari, other, their mixtures, or none."""
+    """Label of the scripts of the letters and digits of a text; null and '' are empty."""
     t = F.coalesce(text, F.lit(""))
     latin, deva = t.rlike(r"\p{IsLatin}"), t.rlike(r"\p{IsDevanagari}")
     other = F.regexp_replace(t, r"[\p{IsLatin}\p{IsDevanagari}\x00-\x7F]", "").rlike(r"[\p{L}\p{N}]")
     return (
-        F.when(latin & deva, "mixed_latin_devanagari").when(latin & other, "mixed_latin_other").when(deva & other, "mixed_devanagari_other")
-        .when(latin, "latin").when(deva, "devanagari").when(other, "other").otherwise("none")
+        F.when(t == "", "empty").when(deva & latin, "mixed_latin_devanagari").when(deva, "devanagari")
+        .when(other & latin, "mixed_latin_other").when(other, "other_non_latin").when(latin, "latin_english").otherwise("numeric_symbolic")
     )
 
 
-#: The lexicons of the text features.
+#: The lexicons of the text features, single words and phrases.
 LEXICONS: dict[str, list[str]] = {
-    "urgency": "urgent urgently immediate immediately quick fast today now emergency hurry asap leaving relocation relocating transfer shifting moving".split() + ["need gone", "sale today", "last chance", "limited time", "urgent sale"],
-    "contact_redirection": "whatsapp call contact dm message msg ping telegram number phone chat inbox reach ring".split(),
-    "transaction_payment": "price cash cod upi payment advance token deposit booking refund emi fixed negotiable bargain cheap discount offer rate cost gpay phonepe paytm".split()
-    + ["cash on delivery", "fixed price", "best price", "final price", "non negotiable"],
-    "clearance_commercial": "clearance warehouse liquidation stock company office bulk wholesale dealer distributor lot shop store retailer supplier reseller godown surplus".split(),
-    "warranty_authenticity": "original genuine authentic warranty bill invoice gst sealed official indian".split()
-    + ["box pack", "seal pack", "pin pack", "brand new", "apple care", "under warranty", "valid bill", "100% original", "first owner", "indian unit", "usa unit", "bill box"],
-    "delivery_logistics": "courier delivery transport shipping parcel dispatch pickup doorstep ship post cargo".split() + ["home delivery", "all india", "free delivery", "speed post"],
-    "condition_lexicon": "new used mint flawless scratchless clean neat perfect excellent damaged broken repair refurbished renewed replaced dead faulty scratch cracked bh".split()
-    + ["like new", "super clean", "good condition", "minor scratch", "battery health"],
-    "relocation": "relocation relocating transfer shifting moving leaving".split() + ["going abroad", "urgent relocation", "flat shifting", "home shifting"],
-    "company_claims": "company corporate office official enterprise business".split() + ["company warranty", "company sealed", "company piece"],
+    "urgency": [
+        "urgent", "urgently", "immediate", "immediately", "quick", "fast", "today", "now", "emergency", "hurry", "asap", "leaving", "relocation",
+        "relocating", "transfer", "shifting", "moving", "need gone", "sale today", "last chance", "limited time", "urgent sale",
+    ],
+    "contact_redirection": ["whatsapp", "call", "contact", "dm", "message", "msg", "ping", "telegram", "number", "phone", "chat", "inbox", "reach", "ring"],
+    "transaction_payment": [
+        "price", "cash", "cod", "cash on delivery", "upi", "payment", "advance", "token", "deposit", "booking", "refund", "emi", "fixed price", "fixed",
+        "negotiable", "bargain", "cheap", "best price", "discount", "offer", "final price", "non negotiable", "rate", "cost", "gpay", "phonepe", "paytm",
+    ],
+    "clearance_commercial": [
+        "clearance", "warehouse", "liquidation", "stock", "company", "office", "bulk", "wholesale", "dealer", "distributor", "lot", "shop", "store",
+        "retailer", "supplier", "reseller", "godown", "surplus",
+    ],
+    "warranty_authenticity": [
+        "original", "genuine", "authentic", "warranty", "bill", "invoice", "gst", "sealed", "box pack", "seal pack", "pin pack", "brand new",
+        "apple care", "under warranty", "valid bill", "official", "100% original", "first owner", "indian unit", "indian", "usa unit", "bill box",
+    ],
+    "delivery_logistics": [
+        "courier", "delivery", "transport", "shipping", "parcel", "dispatch", "pickup", "home delivery", "all india", "doorstep", "free delivery",
+        "ship", "post", "speed post", "cargo",
+    ],
+    "condition_lexicon": [
+        "new", "used", "like new", "mint", "flawless", "scratchless", "clean", "super clean", "neat", "perfect", "good condition", "excellent", "damaged",
+        "broken", "repair", "refurbished", "renewed", "replaced", "dead", "faulty", "scratch", "cracked", "minor scratch", "battery health", "bh",
+    ],
+    "relocation": ["relocation", "relocating", "transfer", "shifting", "moving", "leaving", "going abroad", "urgent relocation", "flat shifting", "home shifting"],
+    "company_claims": ["company", "corporate", "office", "official", "enterprise", "business", "company warranty", "company sealed", "company piece"],
 }
 
 

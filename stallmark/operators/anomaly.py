@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallmark.operators import percentiles
+
 TREES, SAMPLE, SEED = 150, 256, 42
 
 
@@ -21,10 +23,12 @@ def feature_audit(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / IQR of each column with exact percentiles; an IQR of zero counts as one. One row of statistics is joined."""
-    stats = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
+    rows = percentiles.interpolated(long, F.col("value"), {"feature": F.col("feature")}, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()  # one row a column
+    stats = {r.feature: (r.q1, r.q2, r.q3) for r in rows}
     out = df
     for c in columns:
-        q1, q2, q3 = stats[c] if stats[c] is not None else (0.0, 0.0, 1.0)
+        q1, q2, q3 = stats.get(c, (0.0, 0.0, 1.0))
         out = out.withColumn(c, F.round((F.col(c) - F.lit(q2)) / F.lit((q3 - q1) or 1.0), 6))
     return out
 
@@ -66,7 +70,7 @@ def isolation_scores(df: DataFrame, ident: str, columns: list[str], trees: int =
     the partitioning) and scored on all rows in Arrow batches. Null features count as 0.
     """
     m = df.select(F.col(ident).cast("string").alias("id"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    rows = m.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(trees * sample, 20_000)).toPandas()
+    rows = m.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(trees * sample).toPandas()
     x = rows[columns].to_numpy(dtype=float)
     rng = np.random.default_rng(seed)
     n = min(sample, len(x))
@@ -83,5 +87,5 @@ def isolation_scores(df: DataFrame, ident: str, columns: list[str], trees: int =
 
 def flag_share(scores: DataFrame, shares: dict[str, float]) -> DataFrame:
     """Flag the top share of the scores per named contamination, at the exact percentile of the score."""
-    q = scores.agg(*[F.percentile("score", F.lit(1 - s)).alias(n) for n, s in shares.items()]).first()
-    return scores.select("*", *[(F.col("score") > F.lit(q[n])).alias(n) for n in shares])
+    r = percentiles.interpolated(scores, F.col("score"), {}, {n: 1 - s for n, s in shares.items()}).first()
+    return scores.select("*", *[(F.col("score") > F.lit(r[n] if r else None).cast("double")).alias(n) for n in shares])

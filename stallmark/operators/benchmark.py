@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stallmark.operators import percentiles
+
 #: Smallest comparable group, groups that compare nothing, discount bands in percent of the median.
 MIN_GROUP = 5
 GENERIC = ["Unknown Product", "Generic Smartphone", "Generic Laptop"]
@@ -19,23 +21,22 @@ def comparable(df: DataFrame, group: str, price: str) -> DataFrame:
 def price_benchmark(df: DataFrame, group: str, price: str, least: int = MIN_GROUP) -> DataFrame:
     """Count, exact linear percentiles, mean, population deviation and range of each group of at least ``least`` rows.
 
-    The percentiles pre-aggregate equal prices before the shuffle, so a hot group moves its distinct prices only.
+    The percentiles are selected by digits, so no group is gathered in one buffer.
     """
-    p = F.percentile(F.col(price), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = comparable(df, group, price).groupBy(F.col(group).alias("model")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(price).alias("min_price"), p.alias("_q"), F.max(price).alias("max_price"),
-        F.avg(price).alias("mean_price"), F.stddev_pop(price).alias("std_price"),
+    c = comparable(df, group, price)
+    g = c.groupBy(F.col(group).alias("model")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.avg(price).alias("mean_price"), F.stddev_pop(price).alias("std_price"),
     )
-    return g.filter(F.col("n") >= least).select(
-        "model", "n", F.round("min_price", 4).alias("min_price"), F.round(F.col("_q")[0], 4).alias("q1"), F.round(F.col("_q")[1], 4).alias("median"),
-        F.round(F.col("_q")[2], 4).alias("q3"), F.round("max_price", 4).alias("max_price"), F.round("mean_price", 4).alias("mean_price"),
-        F.round("std_price", 4).alias("std_price"), F.round(F.col("_q")[2] - F.col("_q")[0], 4).alias("iqr"),
+    p = percentiles.interpolated(c, F.col(price), {"model": F.col(group)}, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
+    return g.filter(F.col("n") >= least).join(p, "model").select(
+        "model", "n", *[F.round(k, 4).alias(k) for k in ("min_price", "q1", "median", "q3", "max_price", "mean_price", "std_price")], F.round(F.col("q3") - F.col("q1"), 4).alias("iqr"),
     )
 
 
 def with_median(df: DataFrame, group: str, price: str, least: int = MIN_GROUP) -> DataFrame:
+    """Comparable rows with the size and the median of their group; groups of fewer than ``least`` rows are left out."""
     c = comparable(df, group, price)
-    m = c.groupBy(group).agg(F.count(F.lit(1)).alias("group_n"), F.median(price).alias("group_median")).filter(F.col("group_n") >= least)
+    m = percentiles.interpolated(c, F.col(price), {group: F.col(group)}, {"group_median": 0.5}).withColumnRenamed("n", "group_n").filter(F.col("group_n") >= least)
     return c.join(m, group)
 
 

@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stallmark.session import cut
+
 #: Words that make no phrase of their own.
-STOPWORDS = "a an and are as at be by for from has have i in is it its my of on or our so that the this to was we will with you your".split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "in", "on", "at", "to", "for", "with", "by", "of", "from", "as", "is", "are", "was", "were", "it", "this", "that", "all",
+    "available", "very", "also", "have", "has", "had", "just", "my", "me", "we", "you", "your", "only", "be", "so", "if", "out", "up", "about", "into", "over",
+    "after", "than", "no", "not", "any", "some", "can", "will", "do", "does",
+]
 MIN_DF, MIN_DOCS, TOP_TERMS = 3, 10, 15
 
 
@@ -21,33 +27,40 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def ngram_frequencies(docs: DataFrame, ident: str, tokens: str, sizes: tuple[int, ...] = (1, 2, 3), least_df: int = 2) -> DataFrame:
-    """Term and document frequency of n-grams that are not made of stop words only.
+    """Term and document frequency of n-grams that are not made of stop words only. ``docs`` has one row a document.
 
-    Counted per document first, so that a document sends each phrase once.
+    The phrases of a document are sorted in its row and those that stand first in their run carry the document, so one
+    shuffle, combined on the map side, counts both.
     """
-    t = F.col(tokens)
+    t, stop = F.col(tokens), F.array(*map(F.lit, STOPWORDS))
 
     def sized(n: int) -> Column:
         grams = F.transform(ngrams(t, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("phrase")))
         return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<struct<n:int,phrase:string>>"))
 
-    every = F.flatten(F.array(*map(sized, sizes)))
-    per = docs.select(F.col(ident).alias("_id"), F.explode(every).alias("g")).groupBy("_id", "g.n", "g.phrase").agg(F.count(F.lit(1)).alias("c"))
-    stop = F.array(*map(F.lit, STOPWORDS))
-    per = per.filter(F.exists(F.split("phrase", " "), lambda w: ~F.array_contains(stop, w)))
-    return per.groupBy("n", "phrase").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least_df)
+    rows = docs.select(F.explode(F.array(F.array_sort(F.flatten(F.array(*map(sized, sizes)))))).alias("every"))
+    rows = rows.select(F.posexplode("every").alias("at", "g"), F.col("every"))
+    rows = rows.select("g.n", "g.phrase", F.when(F.get("every", F.col("at") - 1) == F.col("g"), 0).otherwise(1).alias("first"))
+    rows = rows.filter(F.exists(F.split("phrase", " "), lambda w: ~F.array_contains(stop, w)))
+    return rows.groupBy("n", "phrase").agg(F.count(F.lit(1)).alias("tf"), F.sum("first").alias("df")).filter(F.col("df") >= least_df)
 
 
 def tfidf(docs: DataFrame, group: str, ident: str, tokens: str, top: int = TOP_TERMS) -> DataFrame:
-    """Top terms per group: tf = share of all tokens kept, idf = ln((1 + N) / (1 + df)) + 1 within the group."""
+    """Top terms per group: tf = share of all kept tokens of the group, idf = ln((1 + N) / (1 + df)) + 1 over all documents.
+
+    Groups of fewer than MIN_DOCS documents and terms of fewer than MIN_DF documents do not come out; the tokens of such
+    terms still count in the total. Rows with a null group form no group but count in N and df.
+    """
     stop = F.array(*map(F.lit, STOPWORDS))
-    size = docs.groupBy(group).agg(F.count_distinct(ident).alias("n_docs")).filter(F.col("n_docs") >= MIN_DOCS)
+    size = docs.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("group_docs")).filter(F.col("group_docs") >= MIN_DOCS)
     w = docs.select(group, F.col(ident).alias("_id"), F.explode(tokens).alias("term"))
     w = w.filter(~F.array_contains(stop, F.col("term")) & (F.length("term") > 1) & ~F.col("term").rlike(r"^\d+$"))
     per = w.groupBy(group, "_id", "term").agg(F.count(F.lit(1)).alias("c"))
-    t = per.groupBy(group, "term").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("df"))
+    t = per.groupBy(group, "term").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("held"))
+    df = t.groupBy("term").agg(F.sum("held").alias("df")).filter(F.col("df") >= MIN_DF)
     total = t.groupBy(group).agg(F.sum("c").alias("total"))
-    s = t.filter(F.col("df") >= MIN_DF).join(total, group).join(size, group)
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
+    s = t.join(df, "term").join(total, group).join(size, group).join(F.broadcast(n))
     s = s.withColumn("tfidf", F.round(F.col("c") / F.col("total") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1), 6))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("tfidf"), "term"))
     return s.withColumn("rank", rank).filter(F.col("rank") <= top).select(F.col(group).alias("group_value"), "rank", "term", F.col("c").alias("tf"), "df", "tfidf")
@@ -88,11 +101,12 @@ def jaccard_pairs(docs: DataFrame, ident: str, words: str, block: str | None, th
     class representative (``a`` < ``b``); ``jaccard_classes`` has the members.
     """
     d = _word_sets(docs, ident, words, block, least)
-    reps = d.groupBy("block", "w").agg(F.min("id").alias("id"))
-    order = reps.select("block", F.explode("w").alias("t")).groupBy("block", "t").agg(F.count(F.lit(1)).alias("df"))
-    toks = reps.select("block", "id", F.size("w").alias("n"), F.explode("w").alias("t")).join(order, ["block", "t"])
-    toks = toks.withColumn("pos", F.row_number().over(Window.partitionBy("block", "id").orderBy("df", "t")))
-    pre = toks.filter(F.col("pos") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("block", "t", "id", "n")
+    reps = cut(d.groupBy("block", "w").agg(F.min("id").alias("id")))
+    held = reps.select("block", "id", F.size("w").alias("n"), F.explode("w").alias("t"))
+    order = held.groupBy("block", "t").agg(F.count(F.lit(1)).alias("df"))
+    ranked = held.join(order, ["block", "t"]).groupBy("block", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("w"))  # the words of a row
+    first = F.slice("w.t", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
+    pre = cut(ranked.select("block", "id", "n", F.explode(first).alias("t")))
     a, b = pre.alias("a"), pre.alias("b")
     near = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.lit(threshold - 1e-9) * F.greatest("a.n", "b.n"))
     cand = a.join(b, ["block", "t"]).filter(near).select("block", F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()

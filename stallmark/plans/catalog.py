@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stallmark.functions import parsing, price, privacy, text
+from stallmark.functions import parsing, price, privacy, products, text
 from stallmark.operators import anomaly, benchmark, graph, listings, textops, vectors
 from stallmark.session import cut, table
 
@@ -21,7 +21,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = re.sub(r"\b([xwi]) -> ", r"lambda \1: ", sql)
+            SQL[f.__name__] = re.sub(r"\b([xwi](?:, i)?) -> ", r"lambda \1: ", sql)
         return f
 
     return add
@@ -169,7 +169,7 @@ def crosspost_groups(spark, d):
 select 'repeated_match_id' as check_name, count(*) as failures from (select match_id from m group by 1 having count(*) > 1)
 union all select 'missing_side', count(*) from m where coalesce(a, '') = '' or coalesce(b, '') = ''
 union all select 'self_match', count(*) from m where a = b
-union all select 'unknown_listing', count(distinct a) from m where coalesce(a, '') <> '' and a not in (select listing_id from ids where listing_id is not null)""")
+union all select 'unknown_listing', count(distinct a) from (select a from m union all select b from m) where coalesce(a, '') <> '' and a not in (select listing_id from ids where listing_id is not null)""")
 def integrity_checks(spark, d):
     m = table(spark, d, "image_matches").select("match_id", F.upper(F.trim("listing_a")).alias("a"), F.upper(F.trim("listing_b")).alias("b"))
     ids = table(spark, d, "olx_listings").select(F.col("listing_id").alias("a")).distinct()
@@ -212,28 +212,154 @@ def normalize_condition(spark, d):
     return table(spark, d, "synthetic_listings").select("record_id", parsing.condition_field(F.col("condition")).alias("condition_class"))
 
 
+_ALL_CUES = "list_concat(" + ", ".join(f"list_transform(regexp_extract_all(coalesce(title, ''), {q('(?i)' + p)}), x -> trim(x))" for p in parsing.CUES) + ")"
+
+
 @query(f"""select record_id, case when t is null then 'UNKNOWN' {' '.join(f'when regexp_matches(t, {q(p)}) then {q(n)}' for n, p in parsing.TITLE_CONDITIONS.items())} else 'UNKNOWN' end as condition_class,
-array_to_string(list_concat({', '.join(f'''list_transform(regexp_extract_all(coalesce(t, ''), {q(p)}), x -> trim(x))''' for p in parsing.CUES[:2])}), '|') as first_cues from (select record_id, lower(title) as t from synthetic_listings)""")
+array_to_string(list_filter(cues, x, i -> list_position(cues, x) = i), '|') as cues from (select record_id, lower(title) as t, {_ALL_CUES} as cues from synthetic_listings)""")
 def condition_parse(spark, d):
     return table(spark, d, "synthetic_listings").select("record_id", parsing.condition_title(F.col("title")).alias("condition_class"), F.array_join(parsing.condition_cues(F.col("title")), "|").alias("cues"))
 
 
-@query(f"""select kind, count(*) as n from (select case when t is null then 'device' {' '.join(f'when regexp_matches(t, {q(p)}) then {q(n.lower())}' for n, p in parsing.ACCESSORIES.items())} else 'device' end as kind
-from (select lower(title) as t from olx_listings)) group by 1""")
+#: Names of products put before the titles of the tables, which hold none of these families: every branch of the rules is met.
+SAMPLES = [
+    "Apple iPhone 17 Pro Max 256GB Desert Titanium 100% battery health", "i phone se 2 64 gb", "iphone 13 back cover", "macbook pro m2 pro 16gb 512gb ssd space grey", "apple mac book 2019 intel", "macbook charger",
+    "dualsense edge", "ps5 blue controller with charging dock", "PS5 slim digital edition", "playstation 4 pro 1tb", "xbox series x", "XBOX 360 empty box", "nintendo switch oled", "samsung galaxy s24 ultra 12/256", "a52 8gb 128gb",
+    "galaxy z fold5 cover", "google pixel 8 pro 90% bh", "pixel 7a", "one plus nord ce 3", "oneplus 12 tempered glass", "lenovo thinkpad core i5 16 gb ram 1 tb ssd 14 inch", "hp", "dell xps adapter", "old mobile 32gb", "gaming notebook 17 inch 64gb",
+    "", "box only", "sofa midnight black", "camera lens glass",
+]
+
+
+def _titles(spark, d):
+    names = F.array(*map(F.lit, SAMPLES))
+    t = F.concat_ws(" ", F.get(names, F.pmod("record_id", F.lit(len(SAMPLES))).cast("int")), F.col("title"))
+    return table(spark, d, "olx_listings").select("record_id", F.when(F.col("record_id") % 101 != 0, t).alias("title"), F.element_at(F.array(*map(F.lit, ["iphone", "MacBook ", "ps5 controller", "tv"])), (F.pmod(F.col("record_id") / F.lit(len(SAMPLES)), F.lit(4)) + 1).cast("int")).alias("query"))
+
+
+_TITLES = f"""titles as (select record_id, case when record_id % 101 <> 0 then concat_ws(' ', ([{', '.join(map(q, SAMPLES))}])[record_id % {len(SAMPLES)} + 1], title) end as title,
+(['iphone', 'MacBook ', 'ps5 controller', 'tv'])[cast(floor((record_id / {len(SAMPLES)}::double) % 4) as bigint) + 1] as query from olx_listings)"""
+
+
+def _title_sql(x: str) -> str:
+    return f"array_to_string(list_transform(string_split({x}, ''), x, i -> case when i > 1 and regexp_matches(string_split({x}, '')[i - 1], '\\p{{L}}') then lower(x) else upper(x) end), '')"
+
+
+def _part(p: str, g: int) -> str:
+    return f"nullif(trim(regexp_extract(t, {q(p)}, {g})), '')"
+
+
+def _hit(p: str) -> str:
+    return f"regexp_matches(t, {q(p)})"
+
+
+_ACC = f"case when t = '' then 'unknown' {' '.join(f'when regexp_matches(lower(t), {q(p)}) then {q(n.lower())}' for n, p in parsing.ACCESSORIES.items())} else 'device' end"
+_PAD = "contains(lower(t), 'controller')"
+#: Test, category of a device, brand, family, model, variant, generation, confidence of each rule, as SQL.
+_RULES = [
+    ("t = ''", "'Unknown'", "null", "null", "null", "null", "null", "unknown"),
+    (_hit(products.IPHONE), "'Smartphone'", "'Apple'", "'iPhone'", f"concat_ws(' ', 'iPhone', upper({_part(products.IPHONE, 1)}), {_title_sql(_part(products.IPHONE, 2))})", _title_sql(_part(products.IPHONE, 2)), f"upper({_part(products.IPHONE, 1)})", "high"),
+    (_hit(products.MACBOOK), "'Laptop'", "'Apple'", "'MacBook'", f"concat_ws(' ', 'MacBook', {_title_sql(_part(products.MACBOOK, 1))})", _title_sql(_part(products.MACBOOK, 1)), f"upper({_part(products.MACBOOK, 2)})", "high"),
+    (f"({_hit(products.PS5_CONTROLLER)} or ({_PAD} and contains(lower(t), 'ps5')))", "'Gaming Accessory'", "'Sony'", "'PlayStation'", "'DualSense Controller'", "'PS5 Controller'", "'PS5'", "high"),
+    (f"({_hit(products.PS5)} and not {_PAD})", "'Gaming Console'", "'Sony'", "'PlayStation'", "'PlayStation 5'", "'Console'", "'PS5'", "high"),
+    (_hit(products.PS4), "'Gaming Console'", "'Sony'", "'PlayStation'", "'PlayStation 4'", "null", "'PS4'", "high"),
+    (_hit(products.XBOX), "'Gaming Console'", "'Microsoft'", "'Xbox'", _title_sql(_part(products.XBOX, 1)), "null", "'Xbox'", "high"),
+    (_hit(products.NINTENDO), "'Gaming Console'", "'Nintendo'", "'Switch'", "'Nintendo Switch'", "null", "'Switch'", "high"),
+    (_hit(products.SAMSUNG), "'Smartphone'", "'Samsung'", "'Galaxy'", f"'Galaxy ' || {_title_sql(_part(products.SAMSUNG, 1))}", "null", "null", "high"),
+    (_hit(products.PIXEL), "'Smartphone'", "'Google'", "'Pixel'", f"'Pixel ' || {_title_sql(_part(products.PIXEL, 1))}", "null", "null", "high"),
+    (_hit(products.ONEPLUS), "'Smartphone'", "'OnePlus'", "'OnePlus'", f"'OnePlus ' || {_title_sql(_part(products.ONEPLUS, 1))}", "null", "null", "high"),
+    (_hit(products.LAPTOPS), "'Laptop'", _title_sql(f"regexp_extract(t, {q(products.LAPTOPS)}, 1)").replace("regexp_extract(t,", "regexp_extract(t,"), "'Laptop'", _title_sql(f"regexp_extract(t, {q(products.LAPTOPS)}, 1)"), "null", "null", "medium"),
+    ("(contains(lower(t), 'phone') or contains(lower(t), 'mobile'))", "'Smartphone'", "'Generic / Other'", "'Mobile Phone'", "'Generic Smartphone'", "null", "null", "low"),
+    ("(contains(lower(t), 'laptop') or contains(lower(t), 'notebook'))", "'Laptop'", "'Generic / Other'", "'Laptop'", "'Generic Laptop'", "null", "null", "low"),
+    ("true", "'Unknown'", "'Unknown'", "'Unknown'", "'Unknown Product'", "null", "null", "unknown"),
+]
+
+
+def _rule(column: int) -> str:
+    return "case " + " ".join(f"when {r[0]} then {r[column]}" for r in _RULES) + " end"
+
+
+_FIXED = "('Gaming Accessory', 'Unknown')"
+_PRODUCTS = f"""{_TITLES}, x0 as (select record_id, title, query, regexp_replace(coalesce(title, ''), {q(parsing.BLANKS)}, '', 'g') as t from titles),
+x1 as (select *, {_ACC} as a0, {_rule(1)} as c0, regexp_extract({_rule(2)}, '^(\\S+)', 1) as b1, {_rule(2)} as b0, {_rule(3)} as product_family, {_rule(4)} as model, {_rule(5)} as variant, {_rule(6)} as generation,
+ case {' '.join(f"when {r[0]} then {q(r[7])}" for r in _RULES)} end as normalization_confidence from x0),
+x2 as (select *, case when normalization_confidence = 'medium' then b1 else b0 end as brand, case when a0 <> 'device' and normalization_confidence not in ('low', 'unknown') and c0 <> 'Gaming Accessory' then 'Accessory' else c0 end as product_category,
+ case when c0 = 'Gaming Accessory' and a0 <> 'device' then 'accessory' else a0 end as accessory_or_device from x1)"""
+
+
+@query(f"with {_PRODUCTS} select record_id, product_category, brand, product_family, model, variant, generation, accessory_or_device, normalization_confidence from x2")
 def product_match(spark, d):
-    return table(spark, d, "olx_listings").groupBy(parsing.accessory(F.col("title")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    p = _titles(spark, d).select("record_id", F.explode(F.array(products.product(F.col("title")))).alias("p"))
+    return p.select("record_id", *[F.col(f"p.{n}").alias(n) for n in ("product_category", "brand", "product_family", "model", "variant", "generation", "accessory_or_device", "normalization_confidence")])
+
+
+_REST = "when normalization_confidence = 'low' then 'ambiguous' else 'unknown'"
+
 
+@query(f"""with {_PRODUCTS}, y as (select record_id, lower(trim(query)) as q0, coalesce(product_family, '') as f, coalesce(brand, '') as b, product_category as c, coalesce(model, '') as m, accessory_or_device = 'device' as dev, normalization_confidence from x2)
+select record_id, case
+when q0 = 'iphone' then case when f = 'iPhone' and dev then 'direct_match' when f = 'iPhone' then 'related_accessory' when b in ({', '.join(map(q, products.OTHER_THAN_IPHONE))}) or c in ({', '.join(map(q, products.NO_PHONES))}) then 'different_product' {_REST} end
+when q0 = 'macbook' then case when f = 'MacBook' and dev then 'direct_match' when f = 'MacBook' then 'related_accessory' when c <> 'Laptop' or b <> 'Apple' then 'different_product' {_REST} end
+when q0 = 'ps5 controller' then case when m = 'DualSense Controller' then 'direct_match' when f = 'PlayStation' and not dev then 'related_accessory' when m = 'PlayStation 5' or b in ({', '.join(map(q, products.OTHER_THAN_PAD))}) then 'different_product' {_REST} end
+else case when normalization_confidence in ('high', 'medium') then 'direct_match' {_REST} end end as query_match_status from y""")
+def query_match_status(spark, d):
+    p = _titles(spark, d).select("record_id", "query", F.explode(F.array(products.product(F.col("title")))).alias("p"))
+    return p.select("record_id", products.query_status(F.col("p"), F.col("query")).alias("query_match_status"))
 
-def _int(x: str, p: str) -> str:
-    return f"cast({_ex(x, p)} as integer)"
 
+def _num(p: str, g: int) -> str:
+    return f"cast(nullif(regexp_extract(t, {q(p)}, {g}), '') as integer)"
 
-@query(f"""select record_id, {_int('t', parsing.RAM)} as ram_gb, coalesce({_int('r', parsing.TERABYTES)} * 1024, {_int('r', parsing.STORAGE)}) as storage_gb,
-case when {_int('t', parsing.BATTERY)} between 50 and 100 then {_int('t', parsing.BATTERY)} end as battery_health_percent, {_int('t', parsing.YEAR)} as year,
-cast({_ex('t', parsing.SCREEN)} as double) as screen_size_inches, coalesce({', '.join(f'case when regexp_matches(t, {q(chr(92) + "b" + c + chr(92) + "b")}) then {q(c)} end' for c in parsing.COLOURS)}) as color
-from (select record_id, t, regexp_replace(t, {q(parsing.RAM)}, ' ', 'g') as r from (select record_id, lower(coalesce(title, '')) as t from olx_listings))""")
+
+_CHIP_SQL = " ".join(f"when contains(u, '{n}') and contains(u, '{k.upper()}') then '{n} {k}'" if k else f"when contains(u, '{n}') then '{n}'" for n, ks in products.CHIPS.items() for k in [*ks, ""])
+_COLOUR_SQL = "coalesce(" + ", ".join(f"case when regexp_matches(lower(t), {q(chr(92) + 'b' + c + chr(92) + 'b')}) then {q(products.COLOURS[c])} end" for c in products.COLOUR_ORDER) + ")"
+
+
+@query(f"""with {_TITLES}, x as (select record_id, trim(coalesce(title, '')) as t from titles), y as (select record_id, t, coalesce({_num(products.RAM, 1)}, {_num(products.DUAL, 1)}, {_num(products.DUAL, 3)}) as ram_gb,
+ list_transform(regexp_extract_all(t, {q(products.GIGABYTES)}, 1), x -> cast(x as integer)) as sizes, coalesce({_num(products.BATTERY, 1)}, {_num(products.BATTERY, 2)}) as bat, nullif(trim(regexp_extract(t, {q(products.CHIP)}, 1)), '') as chip0 from x),
+z as (select *, upper(chip0) as u, list_filter(sizes, x -> ram_gb is null or x <> ram_gb) as free from y)
+select record_id, ram_gb, coalesce({_num(products.STORAGE, 1)}, {_num(products.STORAGE, 2)} * 1024, {_num(products.DUAL, 2)}, {_num(products.DUAL, 4)}, {_num(products.TERABYTES, 1)} * 1024, list_filter(free, x -> x >= 64)[1], case when ram_gb is null then list_filter(free, x -> x < 64)[1] end) as storage_gb,
+ case when bat between 50 and 100 then bat end as battery_health_percent, {_num(products.YEAR, 1)} as year, cast(nullif(regexp_extract(t, {q(products.SCREEN)}, 1), '') as double) as screen_size_inches,
+ case when chip0 is null then null {_CHIP_SQL} else {_title_sql('chip0')} end as chip, {_COLOUR_SQL} as color from z""")
 def spec_parse(spark, d):
-    return table(spark, d, "olx_listings").select("record_id", *[c.alias(n) for n, c in parsing.specifications(F.col("title")).items()])
+    return _titles(spark, d).select("record_id", *[c.alias(n) for n, c in products.specifications(F.col("title")).items()])
+
+
+def _category_sql(c: str, s: str, t: str) -> tuple[str, str]:
+    """Category and subcategory as CASE expressions over typed category, typed subcategory and title."""
+    cat, sub = [], []
+    typed = f"nullif({s}, '')"
+    for name, (subs, _) in products.TAXONOMY.items():
+        found = [f"case when lower({s}) = {q(x.lower())} then {q(x)} end" for x in subs] + [f"case when contains({t}, {q(x.lower())}) then {q(x)} end" for x in subs]
+        cat.append(f"when {c} = {q(name)} then {q(name)}")
+        sub.append(f"when {c} = {q(name)} then coalesce({', '.join([*found, typed])})")
+    for alias, (a, b) in products.SUBCATEGORIES.items():
+        test = f"when lower({s}) = {q(alias)} or lower({c}) = {q(alias)} then "
+        cat.append(test + q(a))
+        sub.append(test + q(b))
+    word = lambda alias: f"regexp_matches({t}, {q(chr(92) + 'b' + alias + chr(92) + 'b')})"
+    for name, (subs, aliases) in products.TAXONOMY.items():
+        test = f"when lower({c}) in ({', '.join(map(q, aliases))}) then "
+        found = [f"case when contains(lower({s}) || ' ' || {t}, {q(x.lower())}) then {q(x)} end" for x in subs] + [f"case when {word(k)} then {q(b)} end" for k, (a, b) in products.SUBCATEGORIES.items() if a == name]
+        cat.append(test + q(name))
+        sub.append(test + f"coalesce({', '.join([*found, typed])})")
+    for alias, (a, b) in products.SUBCATEGORIES.items():
+        cat.append(f"when {word(alias)} then {q(a)}")
+        sub.append(f"when {word(alias)} then {q(b)}")
+    return f"case {' '.join(cat)} else coalesce(nullif({c}, ''), 'Electronics') end", f"case {' '.join(sub)} else {typed} end"
+
+
+_CAT, _SUB = _category_sql("c", "s", "t")
+_CAT_IN = ["Smartphones", "mobile", "console", "Audio & Wearables", "", "camera", "Gaming", "pc"]
+
+
+@query(f"""select record_id, {_CAT} as category, {_SUB} as subcategory from (select s.record_id, case when s.record_id % 3 = 0 then trim(coalesce(s.category, '')) else ([{', '.join(map(q, _CAT_IN))}])[s.record_id % {len(_CAT_IN)} + 1] end as c,
+trim(coalesce(s.subcategory, '')) as s, lower(concat_ws(' ', ([{', '.join(map(q, SAMPLES))}])[s.record_id % {len(SAMPLES)} + 1], s.title)) as t from synthetic_listings s)""")
+def category_normalize(spark, d):
+    s = table(spark, d, "synthetic_listings")
+    at = lambda xs: F.get(F.array(*map(F.lit, xs)), F.pmod("record_id", F.lit(len(xs))).cast("int"))
+    raw = F.when(F.col("record_id") % 3 == 0, F.col("category")).otherwise(at(_CAT_IN))
+    x = s.select("record_id", F.explode(F.array(products.category(raw, F.col("subcategory"), F.concat_ws(" ", at(SAMPLES), F.col("title"))))).alias("x"))
+    return x.select("record_id", "x.category", "x.subcategory")
 
 
 @query("""select record_id, case when n >= 3 then p[-2] when n >= 1 then p[1] end as city, case when n >= 3 then p[-1] when n = 2 then p[2] end as state from (
@@ -243,20 +369,22 @@ def parse_location(spark, d):
     return table(spark, d, "olx_listings").select("record_id", city.alias("city"), state.alias("state"))
 
 
-@query("""with c as (select lower(name) as k, min(state_name) as s from canonical_values where kind = 'city' group by 1),
-p as (select record_id, unnest(p) as part, generate_subscripts(p, 1) as pos from (select record_id, list_filter(list_transform(string_split(lower(location), ','), x -> regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), x -> x <> '') as p from olx_listings where location is not null)),
-h as (select record_id, arg_max(s, pos) as state_name, arg_max(part, pos) as city from p join c on p.part = c.k group by 1)
-select o.record_id, case when h.record_id is not null then 'high' when o.location is null or regexp_replace(o.location, '^[\\s\\p{Z}]+', '') = '' then 'unknown' when regexp_replace(replace(o.location, ',', ''), '^[\\s\\p{Z}]+', '') = '' then 'low' else 'medium' end as confidence, h.city, h.state_name
-from olx_listings o left join h using (record_id)""")
+@query(f"""with c as (select lower(name) as k, min(state_name) as s from canonical_values where kind = 'city' group by 1),
+l as (select record_id, location, list_filter(list_transform(string_split(location, ','), x -> regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), x -> x <> '') as parts from olx_listings),
+p as (select record_id, unnest(parts) as part, generate_subscripts(parts, 1) as pos from l where location is not null),
+h as (select record_id, arg_max(s, pos) as state_name, arg_max(part, pos) as city from p join c on lower(p.part) = c.k group by 1)
+select l.record_id, case when h.record_id is not null then 'high' when l.location is null or regexp_replace(l.location, '^[\\s\\p{{Z}}]+', '') = '' then 'unknown' when len(parts) > 0 then 'medium' else 'low' end as confidence,
+{_title_sql('coalesce(h.city, l.parts[-1])')} as city, h.state_name from l left join h using (record_id)""")
 def location_hierarchy(spark, d):
-    """Comma parts from right to left against the list of cities; the list is joined by key, so its size does not matter."""
+    """Comma parts from right to left against the list of cities, joined by key, so its size does not matter; without a hit the last part counts as city."""
     o = table(spark, d, "olx_listings").select("record_id", "location")
-    c = table(spark, d, "canonical_values").filter("kind = 'city'").groupBy(F.lower("name").alias("part")).agg(F.min("state_name").alias("state_name"))
-    parts = F.filter(F.transform(F.split(F.lower("location"), ","), lambda x: parsing.strip(x)), lambda x: x != "")
-    h = o.select("record_id", F.posexplode(parts).alias("pos", "part")).join(c, "part").groupBy("record_id").agg(F.max_by("part", "pos").alias("city"), F.max_by("state_name", "pos").alias("state_name"))
+    c = table(spark, d, "canonical_values").filter("kind = 'city'").groupBy(F.lower("name").alias("key")).agg(F.min("state_name").alias("state_name"))
+    parts = F.filter(F.transform(F.split("location", ","), lambda x: parsing.strip(x)), lambda x: x != "")
+    h = o.select("record_id", F.posexplode(parts).alias("pos", "part")).withColumn("key", F.lower("part")).join(c, "key").groupBy("record_id").agg(F.max_by("part", "pos").alias("hit"), F.max_by("state_name", "pos").alias("state_name"))
+    last = F.try_element_at(parts, F.lit(-1))
     blank = F.col("location").isNull() | (parsing.strip(F.col("location")) == "")
-    conf = F.when(F.col("city").isNotNull(), "high").when(blank, "unknown").when(parsing.strip(F.replace("location", F.lit(","), F.lit(""))) == "", "low").otherwise("medium")
-    return o.join(h, "record_id", "left").select("record_id", conf.alias("confidence"), "city", "state_name")
+    conf = F.when(F.col("hit").isNotNull(), "high").when(blank, "unknown").when(last.isNotNull(), "medium").otherwise("low")
+    return o.join(h, "record_id", "left").select("record_id", conf.alias("confidence"), text.title_case(F.coalesce("hit", last)).alias("city"), "state_name")
 
 
 _RED = "coalesce(text, '')"
@@ -276,7 +404,15 @@ def phone_mask(spark, d):
     return table(spark, d, "synthetic_listings").select("record_id", privacy.mask_phone(F.col("seller.phone")).alias("masked"))
 
 
-@query()
+def _hmac_sql(c: str, salt: str) -> str:
+    key = salt.encode().ljust(64, b"\0")
+    inner, outer = ("".join(f"{b ^ pad:02X}" for b in key) for pad in (0x36, 0x5C))
+    v, dg = f"lower(trim({c}))", f"regexp_replace(lower(trim({c})), '\\D', '', 'g')"
+    clean = f"case when regexp_matches({v}, '^[\\d+\\-\\s()]+$') and length({dg}) >= 10 then right({dg}, 10) when regexp_matches({v}, '^[\\d+\\-\\s()]+$') and length({dg}) >= 7 then {dg} when {v} <> '' then {v} end"
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({clean}))))"
+
+
+@query(f"select record_id, {_hmac_sql('seller.phone', 'salt')} as phone_hash, {_hmac_sql('seller.email', 'salt')} as email_hash from synthetic_listings")
 def hash_identifier(spark, d):
     return table(spark, d, "synthetic_listings").select("record_id", privacy.hash_identifier(F.col("seller.phone"), "salt").alias("phone_hash"), privacy.hash_identifier(F.col("seller.email"), "salt").alias("email_hash"))
 
@@ -291,27 +427,33 @@ def url_fields(spark, d):
 
 def _norm_sql(c: str, kind: str) -> str:
     keep = text.KEEP[kind].replace("-", r"\-") if "\\-" not in text.KEEP[kind] else text.KEEP[kind]
-    return f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), {q(f'[^{text.WORD_CLASS}{keep}]')}, ' ', 'g'), {q(chr(92) + 's+')}, ' ', 'g'))"
+    composed = f"replace(translate(coalesce({c}, ''), '０１２３４５６７８９\u00a0', '0123456789 '), '…', '...')"  # NFKC of what the tables hold
+    return f"trim(regexp_replace(regexp_replace(lower({composed}), {q(f'[^{text.WORD_CLASS}{keep}]')}, ' ', 'g'), {q(chr(92) + 's+')}, ' ', 'g'))"
 
 
 _TOK = r"list_filter(list_transform(string_split({}, ' '), w -> regexp_replace(w, '^[.,/\-_]+|[.,/\-_]+$', '', 'g')), w -> w <> '')"
 
 
-@query(f"select record_id, {_norm_sql('title', 'title')} as title_text, {_norm_sql('title', 'listing')} as listing_text, len({_TOK.format(_norm_sql('title', 'listing'))}) as n_tokens from olx_listings")
+@query(f"select record_id, {_norm_sql('title', 'title')} as title_text, {_norm_sql('title', 'listing')} as listing_text, len({_TOK.format(_norm_sql('title', 'listing'))}) as n_tokens from synthetic_listings")
 def text_normalize(spark, d):
-    t, x = text.normalise(F.col("title")), text.normalise(F.col("title"), "listing")
-    return table(spark, d, "olx_listings").select("record_id", t.alias("title_text"), x.alias("listing_text"), F.size(text.tokens(x)).cast("bigint").alias("n_tokens"))
+    t = table(spark, d, "synthetic_listings").select("record_id", text.compat(F.col("title")).alias("title"))
+    x = text.normalise(F.col("title"), "listing", composed=True)
+    return t.select("record_id", text.normalise(F.col("title"), composed=True).alias("title_text"), x.alias("listing_text"), F.size(text.tokens(x)).cast("bigint").alias("n_tokens"))
 
 
-@query(r"""select script, count(*) as n from (select case when l and v then 'mixed_latin_devanagari' when l and o then 'mixed_latin_other' when v and o then 'mixed_devanagari_other' when l then 'latin' when v then 'devanagari' when o then 'other' else 'none' end as script
-from (select regexp_matches(t, '\p{Latin}') as l, regexp_matches(t, '\p{Devanagari}') as v, regexp_matches(regexp_replace(t, '[\p{Latin}\p{Devanagari}\x00-\x7F]', '', 'g'), '[\p{L}\p{N}]') as o from (select coalesce(text, '') as t from documents))) group by 1""")
+@query(r"""select script, count(*) as n from (select case when t = '' then 'empty' when v and l then 'mixed_latin_devanagari' when v then 'devanagari' when o and l then 'mixed_latin_other' when o then 'other_non_latin' when l then 'latin_english' else 'numeric_symbolic' end as script
+from (select t, regexp_matches(t, '\p{Latin}') as l, regexp_matches(t, '\p{Devanagari}') as v, regexp_matches(regexp_replace(t, '[\p{Latin}\p{Devanagari}\x00-\x7F]', '', 'g'), '[\p{L}\p{N}]') as o from (
+select coalesce(text, '') as t from documents union all select coalesce(seller.phone, '') from synthetic_listings union all select coalesce(brand, '') from synthetic_listings))) group by 1""")
 def script_detect(spark, d):
-    return table(spark, d, "documents").groupBy(text.script(F.col("text")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
+    s = table(spark, d, "synthetic_listings")
+    t = table(spark, d, "documents").select("text").unionByName(s.select(F.col("seller.phone").alias("text"))).unionByName(s.select(F.col("brand").alias("text")))
+    return t.groupBy(text.script(F.col("text")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _docs(spark, d):
     """Documents with their words. The generators keep later expressions from computing the words once per use."""
-    x = table(spark, d, "documents").select("doc_id", "source", "lang", F.explode(F.array(text.normalise(F.col("text"), "listing"))).alias("norm"))
+    x = table(spark, d, "documents").select("doc_id", "source", "lang", text.compat(F.col("text")).alias("text"))
+    x = x.select("doc_id", "source", "lang", F.explode(F.array(text.normalise(F.col("text"), "listing", composed=True))).alias("norm"))
     return x.select("*", F.explode(F.array(text.tokens(F.col("norm")))).alias("tokens"))
 
 
@@ -328,7 +470,7 @@ def lexicon_features(spark, d):
     return _docs(spark, d).select("doc_id", *[text.lexicon_count(F.col("tokens"), F.col("norm"), n).cast("bigint").alias(f"{n}_terms") for n in text.LEXICONS])
 
 
-@query(f"with {_DOCS} select lang, count(*) as n, {', '.join(f'round(avg(case when {_lex_sql(n)} > 0 then 1.0 else 0.0 end), 4) as {n}_rate' for n in list(text.LEXICONS)[:4])} from d group by 1")
+@query(f"with {_DOCS} select lang, count(*) as n, {', '.join(f'round(avg(case when {_lex_sql(n)} > 0 then 1.0 else 0.0 end), 4) as {n}_rate' for n in text.LEXICONS)} from d group by 1")
 def lexicon_by_family(spark, d):
     return _docs(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.when(text.lexicon_count(F.col("tokens"), F.col("norm"), n) > 0, 1.0).otherwise(0.0)), 4).alias(f"{n}_rate") for n in text.LEXICONS])
 
@@ -344,9 +486,9 @@ def ngram_frequencies(spark, d):
 
 
 @query(f"""with {_DOCS}, w as (select source, doc_id, unnest(tokens) as term from d), k as (select * from w where term not in ({_STOP}) and length(term) > 1 and not regexp_matches(term, '^\\d+$')),
-z as (select source, count(distinct doc_id) as n_docs from d group by 1 having count(distinct doc_id) >= {textops.MIN_DOCS}), t as (select source, term, count(*) as c, count(distinct doc_id) as df from k group by 1, 2),
-o as (select source, sum(c) as total from t group by 1),
-s as (select source, term, c, df, round(c / total * (ln((1 + n_docs) / (1 + df)) + 1), 6) as tfidf from t join o using (source) join z using (source) where df >= {textops.MIN_DF}),
+z as (select source from d where source is not null group by 1 having count(*) >= {textops.MIN_DOCS}), n as (select count(*) as n_docs from d), t as (select source, term, count(*) as c from k group by 1, 2),
+f as (select term, count(distinct doc_id) as df from k group by 1 having count(distinct doc_id) >= {textops.MIN_DF}), o as (select source, sum(c) as total from t group by 1),
+s as (select source, term, c, df, round(c / total * (ln((1 + n_docs) / (1 + df)) + 1), 6) as tfidf from t join f using (term) join o using (source) join z using (source), n),
 r as (select *, row_number() over (partition by source order by tfidf desc, term) as rank from s) select source as group_value, rank, term, c as tf, df, tfidf from r where rank <= {textops.TOP_TERMS}""")
 def tfidf_top_terms(spark, d):
     return textops.tfidf(_docs(spark, d), "source", "doc_id", "tokens")
@@ -357,18 +499,24 @@ def exact_text_reuse(spark, d):
     return textops.exact_reuse(_docs(spark, d), "doc_id", "norm")
 
 
-@query()
+_SETS = f"with {_DOCS}, ws as (select doc_id as id, source as block, list_sort(list_distinct(tokens)) as w from d), v as (select * from ws where len(w) >= 3), reps as (select block, w, min(id) as id, count(*) as copies from v group by block, w), jp as (select x.block, x.id as a, y.id as b, len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) as j from reps x join reps y on x.block = y.block and x.id < y.id and least(len(x.w), len(y.w)) >= 0.8 * greatest(len(x.w), len(y.w)) - 1e-9)"
+
+
+@query(_SETS + " select block, a, b, round(j, 6) as jaccard from jp where j >= 0.8 - 1e-12")
 def jaccard_pairs(spark, d):
     return textops.jaccard_pairs(_docs(spark, d), "doc_id", "tokens", "source", 0.8)
 
 
-@query()
+@query(_SETS + """, near as (select block, a as id, b as o from jp where j >= 0.8 - 1e-12 union all select block, b, a from jp where j >= 0.8 - 1e-12), far as (select near.id, sum(reps.copies) as n from near join reps on near.o = reps.id group by 1)
+select v.id, v.block, reps.id as class_id, copies, cast(copies - 1 + coalesce(far.n, 0) as bigint) as links from v join reps on v.block is not distinct from reps.block and v.w = reps.w left join far on far.id = reps.id""")
 def jaccard_classes(spark, d):
     """One row a document: its class of equal word sets, by which jaccard_pairs names it, and its number of links."""
     return textops.jaccard_classes(_docs(spark, d), "doc_id", "tokens", "source", cut(jaccard_pairs(spark, d)))
 
 
-@query()
+@query(f"""with {_DOCS}, w as (select doc_id as id, list_filter(tokens, x -> length(x) >= 2) as t from d),
+g as (select distinct id, phrase from ({' union all '.join(f"select id, unnest(list_transform(range(1, len(t) - {n - 2}), i -> array_to_string(t[i:i + {n - 1}], ' '))) as phrase from w where len(t) >= {n}" for n in (3, 4, 5))}) where length(phrase) >= 12),
+k as (select phrase from g group by 1 having count(*) between 2 and 30), h as (select g.* from g join k using (phrase)) select x.id as a, y.id as b, count(*) as phrases from h x join h y on x.phrase = y.phrase and x.id < y.id group by 1, 2""")
 def shared_phrase_pairs(spark, d):
     return textops.shared_phrases(_docs(spark, d), "doc_id", "tokens")
 
@@ -390,25 +538,33 @@ def _knn_all(spark, d):
     return vectors.cosine_topk(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
 
 
-@query(f"with {_KNN} select rank, round(avg(similarity), 8) as mean_similarity, round(stddev_samp(similarity), 8) as std_similarity from k where q % 50 = 0 group by rank")
+@query(f"with {_KNN} select rank, round(avg(similarity), 8) as mean_similarity, round(stddev_samp(similarity), 8) as std_similarity from k group by rank")
 def knn_rank_profile(spark, d):
     return _knn_all(spark, d).groupBy("rank").agg(F.round(F.avg("similarity"), 8).alias("mean_similarity"), F.round(F.stddev_samp("similarity"), 8).alias("std_similarity"))
 
 
-@query(f"with {_KNN} select count(*) filter (similarity >= 0.5) as at_50, count(*) filter (similarity >= 0.7) as at_70, count(*) filter (similarity >= 0.9) as at_90, count(distinct least(q, n) || '-' || greatest(q, n)) filter (similarity >= 0.5) as pairs_50 from k where q % 50 = 0")
+@query(f"with {_KNN} select count(*) filter (similarity >= 0.5) as at_50, count(*) filter (similarity >= 0.7) as at_70, count(*) filter (similarity >= 0.9) as at_90, count(distinct least(q, n) || '-' || greatest(q, n)) filter (similarity >= 0.5) as pairs_50 from k")
 def visual_pairs(spark, d):
     k = _knn_all(spark, d)
     pair = F.concat_ws("-", F.least("q", "n"), F.greatest("q", "n"))
     return k.agg(F.count_if(F.col("similarity") >= 0.5).alias("at_50"), F.count_if(F.col("similarity") >= 0.7).alias("at_70"), F.count_if(F.col("similarity") >= 0.9).alias("at_90"), F.count_distinct(F.when(F.col("similarity") >= 0.5, pair)).alias("pairs_50"))
 
 
+def _hash_vectors(spark, d):
+    """The vectors and, as near copies, each again with one component turned round and every tenth with nine."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    turned = lambda n: F.transform("embedding", lambda x, i: F.when(F.pmod(i - F.col("vec_id"), F.lit(64)) < n, -x).otherwise(x))
+    return e.unionByName(e.select((F.col("vec_id") + 10_000_000).alias("vec_id"), turned(1).alias("embedding"))).unionByName(e.filter("vec_id % 10 = 0").select((F.col("vec_id") + 20_000_000).alias("vec_id"), turned(9).alias("embedding")))
+
+
+_NEAR = "e0 as (select vec_id, embedding from embeddings), e1 as (select * from e0 union all select vec_id + 10000000, list_transform(embedding, x, i -> case when ((i - 1 - vec_id) % 64 + 64) % 64 < 1 then -x else x end) from e0 union all select vec_id + 20000000, list_transform(embedding, x, i -> case when ((i - 1 - vec_id) % 64 + 64) % 64 < 9 then -x else x end) from e0 where vec_id % 10 = 0)"
 _SIGN = "list_transform(embedding, x -> case when x > 0 then 1 else 0 end)"
-_HAM = f"s as (select vec_id, {_SIGN} as b from embeddings), p as (select x.vec_id as a, y.vec_id as b, list_sum(list_transform(range(1, 65), i -> case when x.b[i] <> y.b[i] then 1 else 0 end)) as distance from s x join s y on x.vec_id < y.vec_id)"
+_HAM = f"{_NEAR}, s as (select vec_id, {_SIGN} as b from e1), p as (select x.vec_id as a, y.vec_id as b, list_sum(list_transform(range(1, 65), i -> case when x.b[i] <> y.b[i] then 1 else 0 end)) as distance from s x join s y on x.vec_id < y.vec_id)"
 
 
 @query(f"with {_HAM} select a, b, cast(distance as integer) as distance from p where distance <= 10")
 def hamming_pairs(spark, d):
-    h = table(spark, d, "embeddings").select("vec_id", *[c.alias(n) for c, n in zip(vectors.sign_hash("embedding"), ("h0", "h1"))])
+    h = _hash_vectors(spark, d).select("vec_id", *[c.alias(n) for c, n in zip(vectors.sign_hash("embedding"), ("h0", "h1"))])
     return vectors.hamming_pairs(h, "vec_id", 10)
 
 

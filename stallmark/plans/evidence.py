@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stallmark.functions import evidence, text
-from stallmark.operators import benchmark, graph
+from stallmark.operators import benchmark, graph, percentiles
 from stallmark.plans import catalog as c
 from stallmark.plans.catalog import q, query
 from stallmark.session import cut, table
@@ -15,7 +15,7 @@ from stallmark.sources import html
 
 # --- bands and tiers over derived scores -----------------------------------------------------------------------------
 
-_TIER = "case when {0} is null then 'UNREADABLE' when {0} >= 0.7 then 'AI' when {0} <= 0.3 then 'REAL' else 'BORDERLINE' end"
+_TIER = f"case when {{0}} is null then 'UNREADABLE' when {{0}} >= 0.7 then {q(evidence.AI)} when {{0}} <= 0.3 then {q(evidence.REAL)} else 'BORDERLINE' end"
 
 
 @query("select case when coalesce(n_chars % 7, 0) = 0 then 'none' when (doc_id * 37) % 100 >= 70 then 'high' when (doc_id * 37) % 100 >= 40 then 'medium' else 'low' end as band, count(*) as n from documents group by 1")
@@ -23,14 +23,17 @@ def ocr_bands(spark, d):
     return table(spark, d, "documents").groupBy(evidence.ocr_band((F.col("doc_id") * 37) % 100, F.col("n_chars") % 7).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select kind, count(*) as n from (select case when a <= 0.60 and ch >= 8 then 'SCREENSHOT' when ch >= 50 or b >= 3 then 'TEXT_HEAVY' when a between 0.65 and 0.85 and ch >= 30 then 'DOCUMENT_LIKE' else 'PHOTO' end as kind
-from (select (doc_id % 20 + 6)::double / 16 as a, n_chars % 80 as ch, doc_id % 4 as b from documents)) group by 1""")
+@query("""select kind, confidence, count(*) as n from (select case when a <= 0.60 and ch >= 8 then 'SCREENSHOT' when ch >= 50 or b >= 3 then 'TEXT_HEAVY' when a between 0.65 and 0.85 and ch >= 30 then 'DOCUMENT_LIKE' else 'PHOTO' end as kind,
+case when a <= 0.60 and ch >= 8 then 0.85 when ch >= 50 or b >= 3 then 0.80 when a between 0.65 and 0.85 and ch >= 30 then 0.75 when ch <= 5 then 0.90 else 0.70 end::double as confidence
+from (select (doc_id % 20 + 6)::double / 16 as a, case when doc_id % 3 = 0 then length(text) else length(text) % 60 end as ch, len(string_split(text, chr(10))) / 4.0::double as b from documents where text is not null)) group by 1, 2""")
 def image_type(spark, d):
-    x = table(spark, d, "documents").select(((F.col("doc_id") % 20 + 6) / 16).alias("a"), (F.col("n_chars") % 80).alias("ch"), (F.col("doc_id") % 4).alias("b"))
-    return x.groupBy(evidence.image_type(F.col("a"), F.col("ch"), F.col("b")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    x = table(spark, d, "documents").filter("text is not null").select(((F.col("doc_id") % 20 + 6) / 16).alias("a"), F.when(F.col("doc_id") % 3 == 0, F.length("text")).otherwise(F.length("text") % 60).alias("ch"), (F.size(F.split("text", "\n")) / 4).alias("b"))
+    x = x.select(evidence.image_type(F.col("a"), F.col("ch"), F.col("b")).alias("t"))
+    return x.groupBy(F.col("t.kind").alias("kind"), F.col("t.confidence").alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_AGREE = "case when a = 'UNREADABLE' or b = 'UNREADABLE' then 'INCOMPLETE' when a = b then 'BOTH_' || a when a <> 'BORDERLINE' and b <> 'BORDERLINE' then 'CONTRADICTING' else 'PARTIAL' end"
+_BOTH = f"({q(evidence.AI)}, {q(evidence.REAL)})"
+_AGREE = f"case when a = b and a = {q(evidence.AI)} then 'AGREEMENT_AI' when a = b and a = {q(evidence.REAL)} then 'AGREEMENT_REAL' when a in {_BOTH} and b in {_BOTH} then 'DETECTOR_DISAGREEMENT' when a = 'BORDERLINE' or b = 'BORDERLINE' then 'BORDERLINE' else 'NO_CONCLUSIVE_SIGNAL' end"
 _SCORES = "select vec_id, case when vec_id % 17 <> 0 then ((vec_id * 37) % 101) / 100.0::double end as x, ((vec_id * 53) % 101) / 100.0::double as y from embeddings"
 
 
@@ -39,10 +42,19 @@ def _scores(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.when(v % 17 != 0, (v * 37) % 101 / 100).alias("x"), ((v * 53) % 101 / 100).alias("y"))
 
 
-@query(f"select a, b, {_AGREE} as agreement, count(*) as n from (select {_TIER.format('x')} as a, {_TIER.format('y')} as b from ({_SCORES})) group by 1, 2, 3")
+@query(f"select a, b, g as agreement, g in ('DETECTOR_DISAGREEMENT', 'BORDERLINE') as escalated, count(*) as n from (select *, {_AGREE} as g from (select {_TIER.format('x')} as a, {_TIER.format('y')} as b from ({_SCORES}))) group by 1, 2, 3, 4")
 def detector_agreement(spark, d):
-    s = _scores(spark, d).select(evidence.tier(F.col("x")).alias("a"), evidence.tier(F.col("y")).alias("b"))
-    return s.groupBy("a", "b", evidence.agreement(F.col("a"), F.col("b")).alias("agreement")).agg(F.count(F.lit(1)).alias("n"))
+    s = _scores(spark, d).select(evidence.tier(F.col("x")).alias("a"), evidence.tier(F.col("y")).alias("b")).withColumn("agreement", evidence.agreement(F.col("a"), F.col("b")))
+    return s.groupBy("a", "b", "agreement", evidence.escalated(F.col("agreement")).alias("escalated")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select match_id, round(greatest(0, least(1, 1 - abs(a - b))), 4) as score, case when a >= 0.85 and b >= 0.80 then 'REAL_IMAGE_CANDIDATE' when abs(a - b) > 0.35 then 'BORDERLINE' else 'NO_CONCLUSIVE_SIGNAL' end as status
+from (select match_id, 1 - dhash_distance / 64.0::double as a, 1 - phash_distance / 64.0::double as b from image_matches) where a is not null and b is not null""")
+def semantic_divergence(spark, d):
+    m = table(spark, d, "image_matches").filter("dhash_distance is not null and phash_distance is not null")
+    a, b = 1 - F.col("dhash_distance") / F.lit(64.0), 1 - F.col("phash_distance") / F.lit(64.0)
+    score, status = evidence.divergence(a, b)
+    return m.select("match_id", score.alias("score"), status.alias("status"))
 
 
 @query(f"select vec_id, case when greatest(abs(y - 0.5), abs(y - 0.45)) < 0.15 then 'STABLE' else 'SENSITIVE' end as robustness from ({_SCORES})")
@@ -67,33 +79,30 @@ def pattern_library(spark, d):
     return table(spark, d, "documents").select(F.explode(evidence.complaint_patterns(F.col("text"))).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select status, count(*) as n from (select case when w is null or title is null or len(w) = 0 then 'unknown' when k = len(w) then 'match' when k > 0 then 'partial' else 'mismatch' end as status
-from (select title, w, len(list_filter(w, x -> contains(lower(title), x))) as k from (select title, list_filter(regexp_split_to_array(lower(trim(discovery_context.query)), '\\s+'), x -> x <> '') as w from olx_listings))) group by 1""")
-def query_match_status(spark, d):
-    return c.olx(spark, d).groupBy(evidence.query_match(F.col("title"), F.col("query")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""with o as (select price, {c._norm_sql('title', 'listing')} as norm from olx_listings where price > 0 and not isnan(price)), t as (select *, {c._TOK.format('norm')} as tokens from o),
 k as (select quantile_cont(price, 0.25) as q1, median(price) as q2, quantile_cont(price, 0.75) as q3 from t)
-select case when price <= q1 then 1 when price <= q2 then 2 when price <= q3 then 3 else 4 end as quartile, count(*) as n, round(avg(case when {c._lex_sql('condition_lexicon')} > 0 then 1.0 else 0.0 end), 4) as condition_rate from t, k group by 1""")
+select case when price <= q1 then 1 when price <= q2 then 2 when price <= q3 then 3 else 4 end as quartile, count(*) as n, {', '.join(f"round(avg(case when {c._lex_sql(n)} > 0 then 1.0 else 0.0 end), 4) as {n}_rate" for n in text.LEXICONS)} from t, k group by 1""")
 def lexicon_by_price_quartile(spark, d):
-    o = c.olx(spark, d).filter("price > 0 and not isnan(price)").select("price", F.explode(F.array(text.normalise(F.col("title"), "listing"))).alias("norm"))
-    q1, q2, q3 = (o.agg(F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]) or (0.0, 0.0, 0.0)
+    o = c.olx(spark, d).filter("price > 0 and not isnan(price)").select("price", text.compat(F.col("title")).alias("title"))
+    o = o.select("price", F.explode(F.array(text.normalise(F.col("title"), "listing", composed=True))).alias("norm")).select("price", "norm", F.explode(F.array(text.tokens(F.col("norm")))).alias("words"))
+    r = percentiles.interpolated(c.olx(spark, d).filter("price > 0"), F.col("price"), {}, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).first()
+    q1, q2, q3 = (r.q1, r.q2, r.q3) if r else (0.0, 0.0, 0.0)
     p = F.col("price")
-    n = text.lexicon_count(text.tokens(F.col("norm")), F.col("norm"), "condition_lexicon")
-    return o.groupBy(F.when(p <= q1, 1).when(p <= q2, 2).when(p <= q3, 3).otherwise(4).alias("quartile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(n > 0, 1.0).otherwise(0.0)), 4).alias("condition_rate"))
+    has = lambda n: F.round(F.avg(F.when(text.lexicon_count(F.col("words"), F.col("norm"), n) > 0, 1.0).otherwise(0.0)), 4).alias(f"{n}_rate")
+    return o.groupBy(F.when(p <= q1, 1).when(p <= q2, 2).when(p <= q3, 3).otherwise(4).alias("quartile")).agg(F.count(F.lit(1)).alias("n"), *map(has, text.LEXICONS))
 
 
-_CLAIMS = {"bill": "\\bwith (?:original )?bill\\b", "warranty": "\\bwarranty\\b", "sealed": "\\bsealed\\b", "negotiable": "\\bnegotiable\\b", "off_platform_contact": "\\bwhats ?app\\b|\\btelegram\\b"}
+_HITS = "list_filter([" + ", ".join(f"case when regexp_matches(t, {q(p)}) then {q(n)} || '=' || regexp_extract(t, {q(p)}, 0) end" for n, p in html.CLAIMS.items()) + "], x -> x is not null)"
 
 
-@query("select claim, count(*) as n from (" + " union all ".join(f"select {q(n)} as claim from synthetic_listings where regexp_matches(coalesce(description, ''), {q('(?i)' + p)})" for n, p in _CLAIMS.items()) + ") group by 1")
+@query(f"select record_id, array_to_string(list_transform({_HITS}, x, i -> i || ':' || x), '|') as claims from (select record_id, lower(coalesce(title, '') || ' ' || coalesce(description, '')) as t from synthetic_listings)")
 def claims(spark, d):
-    x = table(spark, d, "synthetic_listings").select(F.explode(html.claims(F.coalesce("description", F.lit("")))).alias("c"))
-    return x.groupBy(F.col("c.claim").alias("claim")).agg(F.count(F.lit(1)).alias("n"))
+    """Claims of a listing in order, as position:claim=evidence."""
+    x = table(spark, d, "synthetic_listings").select("record_id", html.claims(F.col("title"), F.col("description")).alias("c"))
+    return x.select("record_id", F.array_join(F.transform("c", lambda k: F.concat(k["position"].cast("string"), F.lit(":"), k["claim"], F.lit("="), k["evidence"])), "|").alias("claims"))
 
 
-@query("select record_id, title, cast(price as double) as price, nullif(regexp_extract(listing_url, 'iid-(\\d+)', 1), '') as listing_id from olx_listings where title is not null and price is not null and price > 0 and price < 1000000 and not contains(title, '\"') and not contains(title, '<') and not contains(title, '\\')")
+@query("select record_id, title, case when not isnan(price) then price end as price, nullif(regexp_extract(listing_url, 'iid-(\\d+)', 1), '') as listing_id from olx_listings")
 def html_listing(spark, d):
     """Pages are rendered from all listings and parsed back; a title or price that a listing lacks is null."""
     o, p = table(spark, d, "olx_listings"), F.nanvl(F.col("price").cast("double"), F.lit(None))
@@ -200,9 +209,13 @@ def anomaly_rate_by_group(spark, d):
 LEAK_TERMS = ["fraud", "scam", "risk", "probability", "danger", "target", "label", "verdict", "outcome", "truth"]
 
 
-@query("select * from (values " + ", ".join(f"({q(t)}, 0)" for t in LEAK_TERMS) + ") as v(term, columns_found)")
+#: Columns put beside those of the feature table, of which the audit must report three.
+PLANTED = ["risk_label", "is_Scam_listing", "colour"]
+
+
+@query(f"select term, cast(len(list_filter(columns, x -> contains(lower(x), term))) as integer) as columns_found from (select unnest([{', '.join(map(q, LEAK_TERMS))}]) as term, list_concat((select list(column_name) from (describe {c.SQL['feature_table']})), [{', '.join(map(q, PLANTED))}]) as columns)")
 def leakage_audit(spark, d):
-    names = c.feature_table(spark, d).columns
+    names = [*c.feature_table(spark, d).columns, *PLANTED]
     return spark.createDataFrame([(t, sum(t in n.lower() for n in names)) for t in LEAK_TERMS], "term string, columns_found int")
 
 

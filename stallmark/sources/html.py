@@ -38,9 +38,19 @@ def search_cards(pages: DataFrame, url: str = "url", html: str = "html") -> Data
     return pages.select(F.col(url).alias("page_url"), F.posexplode(F.coalesce(F.when(F.size(items) > 0, items), links)).alias("position", "c")).select("page_url", "position", F.col("c.url").alias("url"), F.col("c.name").alias("title"))
 
 
-def claims(text: Column) -> Column:
-    """Labelled claims of a text in a fixed order, with their evidence."""
-    # fixed values: claim names and their patterns
-    rules = {"bill": r"(?i)\bwith (?:original )?bill\b", "box": r"(?i)\bwith box\b|\bbox pack", "warranty": r"(?i)\bwarranty\b", "sealed": r"(?i)\bsealed\b", "negotiable": r"(?i)\bnegotiable\b", "off_platform_contact": r"(?i)\bwhats ?app\b|\btelegram\b"}
-    hits = F.array(*[F.struct(F.lit(n).alias("claim"), F.regexp_extract(text, p, 0).alias("evidence")) for n, p in rules.items()])
-    return F.filter(hits, lambda c: c["evidence"] != "")
+#: Claims of a listing text and the words that make them.
+CLAIMS = {
+    "Army / Defence Officer Relocation": r"\b(army|cisf|defence|military|canteen|gate\s*pass)\b",
+    "Urgent / Distress Sale": r"\b(urgent|distress|leaving\s*city|transfer|moving\s*abroad)\b",
+    "Warehouse / Corporate Clearance": r"\b(clearance|warehouse|liquidation|office\s*closing|company\s*closing)\b",
+    "Invoice / GST Bill Available": r"\b(invoice|bill|gst|receipt|original\s*bill)\b",
+    "Advance / Token Required": r"\b(advance|token|booking|deposit|delivery\s*fee)\b",
+    "WhatsApp / Off-Platform Contact": r"\b(whatsapp|wa\.me|call\s*on|message\s*on)\b",
+}
+
+
+def claims(title: Column, description: Column) -> Column:
+    """Claims of title and description in a fixed order: ``position`` from 1, ``claim``, ``evidence`` (the first words that make it)."""
+    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))))
+    hits = F.array(*[F.struct(F.lit(n).alias("claim"), F.regexp_extract(text, p, 0).alias("evidence")) for n, p in CLAIMS.items()])
+    return F.transform(F.filter(hits, lambda c: c["evidence"] != ""), lambda c, i: F.struct((i + 1).alias("position"), c["claim"].alias("claim"), c["evidence"].alias("evidence")))

@@ -27,18 +27,14 @@ def test_conditions(spark):
     assert one(spark, parsing.condition_cues, "2 months old, scratchless, used") == ["2 months old", "scratchless", "used"]
 
 
-def test_specifications(spark):
-    row = spark.createDataFrame([("Laptop 16gb ram 1tb 15.6 inch 2022 silver",), (None,)], "t string").select(*[c.alias(n) for n, c in parsing.specifications(F.col("t")).items()]).collect()
-    assert row[0].asDict() == {"ram_gb": 16, "storage_gb": 1024, "battery_health_percent": None, "year": 2022, "screen_size_inches": 15.6, "color": "silver"}
-    assert all(v is None for v in row[1].asDict().values())
-
-
 def test_text(spark):
     assert one(spark, text.normalise, "  Straße ä—X,  9/10 ") == "straße ä x 9 10"
     assert one(spark, lambda c: text.normalise(c, "listing"), "8/256 GB, ₹500!") == "8/256 gb ₹500"
     assert one(spark, lambda c: text.tokens(text.normalise(c, "listing")), "8/256 GB. --") == ["8/256", "gb"]
     assert one(spark, text.script, "abc नमस्ते") == "mixed_latin_devanagari"
-    assert one(spark, text.script, None) == "none"
+    assert [one(spark, text.script, t) for t in (None, "", "नमस्ते ж", "abc ж", "ж", "abc", "12 ₹")] == ["empty", "empty", "devanagari", "mixed_latin_other", "other_non_latin", "latin_english", "numeric_symbolic"]
+    assert one(spark, text.title_case, "z fold5 o'neil 9PRO") == "Z Fold5 O'Neil 9Pro"
+    assert one(spark, text.normalise, "ﬁne ４GB…") == "fine 4gb" and one(spark, text.sanitised, "  \n ") is None
     assert one(spark, text.paragraphs, "a  b\n\n\n c ") == "a b\n\nc"
     assert one(spark, text.nfkc, "ﬁ①") == "fi1"
 
@@ -46,7 +42,9 @@ def test_text(spark):
 def test_privacy(spark):
     assert one(spark, privacy.redact, "mail a.b@x.com or 9876543210") == "mail [EMAIL_REDACTED] or [PHONE_REDACTED]"
     assert one(spark, privacy.mask_phone, "+91 98765 43210") == "+91 91******10"
-    assert one(spark, privacy.mask, "abcdef") == "ab**ef"
+    assert [one(spark, privacy.mask, t) for t in ("abcdef", "abc", "", None)] == ["ab**ef", "***", "[NOT PROVIDED]", "[NOT PROVIDED]"]
+    assert one(spark, lambda c: privacy.hash_identifier(c, "salt"), " ") is None
+    assert one(spark, lambda c: privacy.hash_identifier(c, "salt"), "080-123 45") == hmac.new(b"salt", b"08012345", hashlib.sha256).hexdigest()
     want = hmac.new(b"salt", b"9876543210", hashlib.sha256).hexdigest()
     assert one(spark, lambda c: privacy.hash_identifier(c, "salt"), "+91 98765-43210") == want
     assert one(spark, lambda c: privacy.hash_identifier(c, "salt"), None) is None
