@@ -21,7 +21,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = re.sub(r"\b([xwi](?:, i)?) -> ", r"lambda \1: ", sql)
+            SQL[f.__name__] = re.sub(r"\b([xw](?:, i)?|i) -> ", r"lambda \1: ", sql)
         return f
 
     return add
@@ -226,7 +226,7 @@ SAMPLES = [
     "Apple iPhone 17 Pro Max 256GB Desert Titanium 100% battery health", "i phone se 2 64 gb", "iphone 13 back cover", "macbook pro m2 pro 16gb 512gb ssd space grey", "apple mac book 2019 intel", "macbook charger",
     "dualsense edge", "ps5 blue controller with charging dock", "PS5 slim digital edition", "playstation 4 pro 1tb", "xbox series x", "XBOX 360 empty box", "nintendo switch oled", "samsung galaxy s24 ultra 12/256", "a52 8gb 128gb",
     "galaxy z fold5 cover", "google pixel 8 pro 90% bh", "pixel 7a", "one plus nord ce 3", "oneplus 12 tempered glass", "lenovo thinkpad core i5 16 gb ram 1 tb ssd 14 inch", "hp", "dell xps adapter", "old mobile 32gb", "gaming notebook 17 inch 64gb",
-    "", "box only", "sofa midnight black", "camera lens glass",
+    "", "box only", "sofa midnight black", "camera lens glass", "demo unit 512gb not for sale", "iphone 12 icloud lock dead 64 gb",
 ]
 
 

@@ -46,8 +46,8 @@ def test_html(spark):
     assert (out["u"].title, out["u"].price, out["v"].title) == ("Old", 1200.0, None)
     cards = html.search_cards(spark.createDataFrame([("s", '<a href="/item/1"></a><a href="/item/2"></a><a href="/item/1"></a>')], "url string, html string"))
     assert [r.url for r in cards.orderBy("position").collect()] == ["/item/1", "/item/2"]
-    got = spark.createDataFrame([("Sealed, WhatsApp me",)], "t string").select(html.claims(F.col("t")).alias("c")).first().c
-    assert [c.claim for c in got] == ["sealed", "off_platform_contact"]
+    got = spark.createDataFrame([("Urgent, GST bill", "WhatsApp me"), (None, None)], "t string, d string").select(html.claims(F.col("t"), F.col("d")).alias("c")).collect()
+    assert [(c.position, c.claim.split(" ")[0], c.evidence) for c in got[0].c] == [(1, "Urgent", "urgent"), (2, "Invoice", "gst"), (3, "WhatsApp", "whatsapp")] and got[1].c == []
 
 
 def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
@@ -59,5 +59,5 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     ingest.upsert_stream(stream, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
     spark.createDataFrame(rows[:2], schema).write.mode("append").parquet(src)
     ingest.upsert_stream(stream, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
-    got = {r.key: (r.first_seen, r.last_seen, sorted(r.sightings)) for r in ingest.latest_state(spark, str(tmp_path / "state")).collect()}
-    assert got == {"a": (1, 3, ["s1", "s2"]), "b": (5, 5, ["s3"])}
+    got = {r.key: (r.first_seen, r.last_seen, r.sightings) for r in ingest.latest_state(spark, str(tmp_path / "state")).collect()}
+    assert got == {"a": (1, 3, 2), "b": (5, 5, 1)}

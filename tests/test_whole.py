@@ -14,8 +14,8 @@ def run(spark, folder, name, **tables):
 def test_all_cues_claims_and_lexicons(spark, tmp_path):
     t = spark.createDataFrame([(1, "Sealed phone, sealed, with bill, 2 months old, repaired", "with box and bill"), (2, None, None)], "record_id bigint, title string, description string")
     got = {r.record_id: r.cues for r in run(spark, tmp_path, "condition_parse", synthetic_listings=t)}
-    assert got == {1: "2 months old|sealed|with bill|repaired", 2: ""}
-    assert [tuple(r) for r in run(spark, tmp_path, "claims")] == [("box", 1)]
+    assert got == {1: "2 months old|Sealed|sealed|with bill|repaired", 2: ""}  # as written
+    assert {r.record_id: r.claims for r in run(spark, tmp_path, "claims")} == {1: "1:Invoice / GST Bill Available=bill", 2: ""}
     docs = spark.createDataFrame([(1, "s", "en", "phone, company office"), (2, "s", "en", "phone")], "doc_id bigint, source string, lang string, text string")
     r = run(spark, tmp_path, "lexicon_by_family", documents=docs)[0].asDict()
     assert set(r) == {"lang", "n", *(f"{n}_rate" for n in text.LEXICONS)} and r["company_claims_rate"] == 0.5
