@@ -71,7 +71,8 @@ def test_components(spark):
     rng = random.Random(5)
     e = [(f"{rng.randrange(120):03d}", f"{rng.randrange(120):03d}") for _ in range(70)]
     e += [("hub", f"h{i:03d}") for i in range(60)]
-    got = {r.id: r.component for r in graph.components(spark.createDataFrame(e, "a string, b string")).collect()}
+    got, one = ({r.id: r.component for r in graph.components(spark.createDataFrame(e, "a string, b string"), n).collect()} for n in (0, 1_000))
+    assert got == one and graph.components(spark.createDataFrame([], "a string, b string")).count() == 0
     parent: dict[str, str] = {}
 
     def find(v):
