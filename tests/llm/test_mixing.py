@@ -38,3 +38,15 @@ def test_empty_and_tokens(spark):
     assert sel.count() == 0 and rep.first().reached == 0
     t = spark.createDataFrame([("Hello world",), (None,), ("",)], "text string")
     assert [r.tokens for r in mixing.count_tokens(t, "text").collect()] == [2, 0, 0]
+
+
+def test_counts_of_both_libraries_agree():
+    import os
+
+    import pytest
+
+    files = [mixing.TOKENIZER, mixing.TOKENIZER.replace(".tiktoken", ".json")]
+    if not all(map(os.path.exists, files)):
+        pytest.skip("no vocabulary files")
+    texts = ["", "it's 12 o'clock  \n\n <|endoftext|> नमस्ते", "word " * 3_000, "x" * 2_000] * 100
+    assert mixing._counter(files[0])(texts) == mixing._counter(files[1])(texts)
