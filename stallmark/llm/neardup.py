@@ -28,6 +28,7 @@ from stallmark.session import cut
 BLOCKS, ROWS = 80, 8
 #: Classes in a block, or records in a class, from which comparing all with all is split up.
 HOT_BLOCK = 1_000
+BUCKETS = 1 << 18
 
 
 def word_set(*texts: Column) -> Column:
@@ -72,9 +73,9 @@ def fingerprint_blocks(sets: DataFrame, blocks: int, rows: int) -> DataFrame:
 def classes(df: DataFrame, ident: str, words: Column, least: int) -> DataFrame:
     """``id``, ``cid`` (smallest id with the same words), ``words`` for records of at least ``least`` different words."""
     d = df.select(F.col(ident).alias("id"), words.alias("words")).filter(F.size("words") >= least)
-    d = d.withColumn("content", F.sha2(F.concat_ws(" ", "words"), 256))
+    d = cut(d.withColumn("content", F.sha2(F.concat_ws(" ", "words"), 256)))  # words are computed once
     same = d.groupBy("content").agg(F.min("id").alias("cid"))
-    return balanced_join(cut(d), same, ["content"], F.col("id")).select("id", "cid", "words")
+    return balanced_join(d, same, ["content"], F.col("id")).select("id", "cid", "words")
 
 
 def _candidates(b: DataFrame, key: list[str], near: Column, hot: DataFrame | None = None) -> DataFrame:
@@ -100,8 +101,14 @@ def similar_classes(reps: DataFrame, threshold: float, blocks: int = BLOCKS, row
     near = F.lit((1 - threshold) / (1 + threshold) + 1e-9) * (F.col("size_a") + F.col("size_b"))
     long = F.greatest("size_a", "size_b") * F.lit(threshold - 1e-9) <= F.least("size_a", "size_b")
     near = (F.col("cid_a") < F.col("cid_b")) & long & (apart <= near)
-    full = cut(b.groupBy("block").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > HOT_BLOCK).select("block"))
-    if full.isEmpty():
+    # a crowded block lies in a crowded bucket; only blocks of these few buckets (at most BUCKETS) are counted themselves
+    bucket = F.pmod("block", F.lit(BUCKETS)).cast("int")
+    busy = cut(b.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > HOT_BLOCK).select("bucket"))
+    full = None
+    if not busy.isEmpty():
+        some = b.join(F.broadcast(busy), bucket == F.col("bucket"), "left_semi")
+        full = cut(some.groupBy("block").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > HOT_BLOCK).select("block"))
+    if full is None or full.isEmpty():
         pairs = _candidates(b, ["block"], near)
     else:
         cold = b.join(full.hint("merge"), "block", "left_anti")
