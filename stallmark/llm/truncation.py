@@ -107,7 +107,7 @@ def _train(batches: Iterator[pd.DataFrame], table: np.ndarray, bits: int, part:
 
     def merged(some: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         k, c, n = (np.concatenate(x) for x in zip(*some))
-        u, inv = np.unique(k, return_inverse=True)
+        inv, u = pd.factorize(k)
         return u, np.bincount(inv, weights=c), np.bincount(inv, weights=n)
 
     def frame(some: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
