@@ -136,7 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_percentiles, p1_merged_days, p2_found, p2_redacted, p3_found, p4_found, p4_groups, p5_found, p6_found, p6_classes, p7_found, p7_items, p8_selection, p8_report, p9_found, p9_rates)
 }
 
-#: Only p1 and p3 have the form of a query that plain SQL runs over whole tables in reasonable time; p6 has it on small tables only.
+#: p1_merged_days says what 32 bits leave of the exact value: 20 binary digits after the first. Only p1 and p3 have the form of a query that plain SQL runs over whole tables in reasonable time; p6 has it on small tables only.
 SQL: dict[str, str] = {
     "p1_percentiles": """
 with b as (
@@ -152,6 +152,14 @@ r as (
          count(*) over (partition by level, model, day) as n from l),
 t(qq, q) as (values (500, 0.05::double), (2500, 0.25::double), (5000, 0.5::double), (7500, 0.75::double), (9500, 0.95::double))
 select level, model, cast(day as varchar) as day, q, n, price as value from r, t where rk = greatest(1, (qq * n + 9999) // 10000)
+""",
+    "p1_merged_days": """
+with r as (
+  select product.model as model, price, row_number() over (partition by product.model order by price) as rk, count(*) over (partition by product.model) as n
+  from olx_listings where price is not null and not isnan(price)),
+t(qq, q) as (values (500, 0.05::double), (2500, 0.25::double), (5000, 0.5::double), (7500, 0.75::double), (9500, 0.95::double)),
+x as (select model, q, n, price, case when price <> 0 then pow(2, floor(log2(abs(price))) - 20) end as step from r, t where rk = greatest(1, (qq * n + 9999) // 10000))
+select model, q, n, case when price = 0 then 0 else sign(price) * floor(abs(price) / step) * step end as value from x
 """,
     "p3_found": r"""
 with recursive m as (
