@@ -39,8 +39,8 @@ def ngram_frequencies(docs: DataFrame, ident: str, tokens: str, sizes: tuple[int
         return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<struct<n:int,phrase:string>>"))
 
     rows = docs.select(F.explode(F.array(F.array_sort(F.flatten(F.array(*map(sized, sizes)))))).alias("every"))
-    rows = rows.select(F.posexplode("every").alias("at", "g"), F.col("every"))
-    rows = rows.select("g.n", "g.phrase", F.when(F.get("every", F.col("at") - 1) == F.col("g"), 0).otherwise(1).alias("first"))
+    marked = F.transform("every", lambda g, i: F.struct(g["n"].alias("n"), g["phrase"].alias("phrase"), F.when(F.get("every", i - 1) == g, 0).otherwise(1).alias("first")))
+    rows = rows.select(F.explode(marked).alias("g")).select("g.*")
     rows = rows.filter(F.exists(F.split("phrase", " "), lambda w: ~F.array_contains(stop, w)))
     return rows.groupBy("n", "phrase").agg(F.count(F.lit(1)).alias("tf"), F.sum("first").alias("df")).filter(F.col("df") >= least_df)
 
@@ -106,9 +106,12 @@ def jaccard_pairs(docs: DataFrame, ident: str, words: str, block: str | None, th
     order = held.groupBy("block", "t").agg(F.count(F.lit(1)).alias("df"))
     ranked = held.join(order, ["block", "t"]).groupBy("block", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("w"))  # the words of a row
     first = F.slice("w.t", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
-    pre = cut(ranked.select("block", "id", "n", F.explode(first).alias("t")))
+    pre = cut(ranked.select("block", "id", "n", F.posexplode(first).alias("at", "t")))
     a, b = pre.alias("a"), pre.alias("b")
     near = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.lit(threshold - 1e-9) * F.greatest("a.n", "b.n"))
+    # the first word two sets share leaves room for enough more: what follows it in the shorter rest bounds the overlap
+    room = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    near = near & (room >= F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     cand = a.join(b, ["block", "t"]).filter(near).select("block", F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     x = reps.select("block", F.col("id").alias("a"), F.col("w").alias("wa"))
     y = reps.select("block", F.col("id").alias("b"), F.col("w").alias("wb"))

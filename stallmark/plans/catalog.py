@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from stallmark.functions import parsing, price, privacy, products, text
 from stallmark.operators import anomaly, benchmark, graph, listings, textops, vectors
-from stallmark.session import cut, table
+from stallmark.session import cut, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -233,7 +233,7 @@ SAMPLES = [
 def _titles(spark, d):
     names = F.array(*map(F.lit, SAMPLES))
     t = F.concat_ws(" ", F.get(names, F.pmod("record_id", F.lit(len(SAMPLES))).cast("int")), F.col("title"))
-    return table(spark, d, "olx_listings").select("record_id", F.when(F.col("record_id") % 101 != 0, t).alias("title"), F.element_at(F.array(*map(F.lit, ["iphone", "MacBook ", "ps5 controller", "tv"])), (F.pmod(F.col("record_id") / F.lit(len(SAMPLES)), F.lit(4)) + 1).cast("int")).alias("query"))
+    return spread(table(spark, d, "olx_listings").select("record_id", "title")).select("record_id", F.when(F.col("record_id") % 101 != 0, t).alias("title"), F.element_at(F.array(*map(F.lit, ["iphone", "MacBook ", "ps5 controller", "tv"])), (F.pmod(F.col("record_id") / F.lit(len(SAMPLES)), F.lit(4)) + 1).cast("int")).alias("query"))
 
 
 _TITLES = f"""titles as (select record_id, case when record_id % 101 <> 0 then concat_ws(' ', ([{', '.join(map(q, SAMPLES))}])[record_id % {len(SAMPLES)} + 1], title) end as title,
@@ -452,7 +452,7 @@ def script_detect(spark, d):
 
 def _docs(spark, d):
     """Documents with their words. The generators keep later expressions from computing the words once per use."""
-    x = table(spark, d, "documents").select("doc_id", "source", "lang", text.compat(F.col("text")).alias("text"))
+    x = spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text")).withColumn("text", text.compat(F.col("text")))
     x = x.select("doc_id", "source", "lang", F.explode(F.array(text.normalise(F.col("text"), "listing", composed=True))).alias("norm"))
     return x.select("*", F.explode(F.array(text.tokens(F.col("norm")))).alias("tokens"))
 
