@@ -36,3 +36,17 @@ def test_leaks(spark):
     instruction = "Please read the case carefully before anything else and then answer it in one sentence only. "
     assert find(spark, docs, [(1, instruction + " ".join(w)), (2, instruction + "Another item " + " ".join(f"q{i}" for i in range(20))), (3, None)]) == {(1, 1), (3, 1), (4, 1), (9, 1)}
     assert find(spark, [(1, "x")], []) == set() and find(spark, [], [(1, " ".join(w))]) == set()
+
+
+def test_openings_are_shared_over_all_items(spark):
+    items = [(i, f"Answer the question below: {' '.join(f'w{i}x{j}' for j in range(20))}") for i in range(40)]
+    items += [(90, "Only sentence here that stays because it is the last of all of them now"), (90, None), (None, "x y z"), (91, "short one")]
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    words = {r.item_id: r.words for r in leakage.plain_items(it).collect()}
+    assert all(words[i][0] == f"w{i}x0" and len(words[i]) == 20 for i in range(40)) and len(words[90]) == 15
+    long = "<div class='" + "a" * 500 + "'>"
+    docs = [(1, "noise " * 50 + " ".join(f"W7x{j}," for j in range(16))), (2, "Answer the question below: and nothing else of it at all in here today ok"), (3, " ".join(f"w9x{j}" + (f" {long} " if j == 7 else "") for j in range(20))), (4, None), (5, ""), (1, "w7x0 w7x1 w7x2")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.words for r in leakage.find_leaks(d, it).collect()}
+    assert got == {(1, 7): 16, (3, 9): 20}
+    assert leakage.find_leaks(d.limit(0), it).count() == 0 and leakage.find_leaks(d, it.limit(0)).count() == 0

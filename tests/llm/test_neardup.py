@@ -31,3 +31,20 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id bigint, text string")
     member, pairs = neardup.near_duplicates(df, "id", neardup.word_set(F.col("text")))
     assert neardup.expand_pairs(member, pairs).count() == 0
+
+
+def test_crowded_blocks_lose_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(base[:26] + [f"x{rng.randrange(12)}" for _ in range(3)])) for i in range(60)] + [(100 + i, " ".join(rng.sample(base, 25))) for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    words = {i: set(t.split()) for i, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(words), 2) if len(words[a] & words[b]) >= 0.8 * len(words[a] | words[b])}
+
+    def found():
+        member, pairs = neardup.near_duplicates(df, "id", neardup.word_set(F.col("t")), 0.8)
+        return {(r.record_a, r.record_b) for r in neardup.expand_pairs(member, pairs).collect()}
+
+    plain = found()
+    monkeypatch.setattr(neardup, "HOT_BLOCK", 3)  # every block of the template is crowded, classes are split
+    assert found() == plain == want
