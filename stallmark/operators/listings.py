@@ -39,7 +39,7 @@ def duplicate_rules(df: DataFrame, ident: str, rules: list[tuple[str, float, lis
         known = F.lit(True)
         for k in keys:
             known = known & k.isNotNull()
-        d = d.withColumn(f"_k{i}", F.when(known, F.xxhash64(*keys))).withColumn(f"_v{i}", F.when(known, F.concat_ws("\x01", *keys)))
+        d = d.withColumn(f"_v{i}", F.when(known, F.to_json(F.array(*[k.cast("string") for k in keys]))))  # no value can imitate the separators
     out = d
     for i, _ in enumerate(rules):
         first = d.filter(F.col(f"_v{i}").isNotNull()).groupBy(F.col(f"_v{i}").alias("_v")).agg(F.min(ident).alias(f"_f{i}"))
