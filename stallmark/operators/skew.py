@@ -31,11 +31,13 @@ def salted_join(
     spread: Column,
     how: str = "inner",
     salts: int = SALTS,
+    strategy: str | None = None,
 ) -> DataFrame:
     """Shuffle join of ``big`` with ``small`` (one or few rows a key) whose hot keys are spread over ``salts`` tasks.
 
     ``hot`` lists the hot keys and must be bounded (see :func:`hot_keys`); ``spread`` is any column of ``big``
-    that varies within a key. Keys compare null-safely and come out once. Other columns must not clash.
+    that varies within a key. Keys compare null-safely and come out once. Other columns must not clash. ``strategy`` is a
+    join hint ("merge": never broadcast).
     """
     h = F.broadcast(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys]).withColumn("_hot", F.lit(True)))
 
@@ -56,7 +58,7 @@ def salted_join(
     )
     s = s.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_salt").alias("_s_salt"), *[c for c in small.columns if c not in keys])
     on = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]) & (F.col("_salt") == F.col("_s_salt"))
-    return b.join(s, on, how).drop("_salt", "_s_salt", *[f"_s_{k}" for k in keys])
+    return b.join(s.hint(strategy) if strategy else s, on, how).drop("_salt", "_s_salt", *[f"_s_{k}" for k in keys])
 
 
 def find_hot(df: DataFrame, keys: list[str], total: int, floor: int = FLOOR) -> DataFrame | None:
@@ -67,13 +69,13 @@ def find_hot(df: DataFrame, keys: list[str], total: int, floor: int = FLOOR) ->
     return None if hot.isEmpty() else hot
 
 
-def join_with_hot(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None, spread: Column, how: str = "inner") -> DataFrame:
+def join_with_hot(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None, spread: Column, how: str = "inner", strategy: str | None = None) -> DataFrame:
     """:func:`salted_join` where there are hot keys, a plain shuffle join where there are none."""
     if hot is not None:
-        return salted_join(big, small, keys, hot, spread, how)
+        return salted_join(big, small, keys, hot, spread, how, strategy=strategy)
     s = small.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *[c for c in small.columns if c not in keys])
     on = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys])
-    return big.join(s, on, how).drop(*[f"_s_{k}" for k in keys])
+    return big.join(s.hint(strategy) if strategy else s, on, how).drop(*[f"_s_{k}" for k in keys])
 
 
 def balanced_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:

@@ -41,6 +41,22 @@ def test_jaccard_against_brute_force(spark):
     assert got == want and want
 
 
+def test_jaccard_joins_are_not_broadcast_and_hot_words_are_split(spark, monkeypatch):
+    """Small enough for Catalyst to broadcast every side; in a larger run its guesses cost the driver its memory."""
+    docs = [(i, "s" if i % 7 else None, [f"w{k}" for k in range(9) if k != i % 12] + [f"v{i % 3}"]) for i in range(60)]
+    df = spark.createDataFrame(docs, "id int, block string, w array<string>")
+    sets: dict[tuple, int] = {}
+    for i, b, w in docs:
+        sets.setdefault((b, frozenset(w)), i)
+    want = {(x, y) for (b, v), x in sets.items() for (c, w), y in sets.items() if b == c and b is not None and x < y and len(v & w) / len(v | w) >= 0.8}
+    plain = textops.jaccard_pairs(df, "id", "w", "block", 0.8)
+    assert "Broadcast" not in plain._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(skew, "find_hot", lambda t, keys, total, floor=0: skew.cut(skew.hot_keys(t, keys, 3, total)))
+    monkeypatch.setattr(textops, "find_hot", skew.find_hot)
+    split = textops.jaccard_pairs(df, "id", "w", "block", 0.8)
+    assert want == {(r.a, r.b) for r in plain.collect()} == {(r.a, r.b) for r in split.collect()} and len(want) > 15
+
+
 def test_ngrams_and_phrases(spark):
     df = spark.createDataFrame([(1, "red apple pie today".split()), (2, "red apple pie again".split()), (3, ["one"]), (4, [])], "id int, t array<string>")
     got = {(r.n, r.phrase, r.tf, r.df) for r in textops.ngram_frequencies(df, "id", "t").collect()}
