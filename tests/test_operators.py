@@ -57,6 +57,14 @@ def test_jaccard_joins_are_not_broadcast_and_hot_words_are_split(spark, monkeypa
     assert want == {(r.a, r.b) for r in plain.collect()} == {(r.a, r.b) for r in split.collect()} and len(want) > 15
 
 
+def test_jaccard_classes_are_not_broadcast(spark):
+    docs = [(1, "s", list("abcdefghi")), (2, "s", list("ihgfedcba")), (3, "s", list("abcdefgh")), (4, None, list("abcdefgh")), (5, None, list("abcdefgh")), (6, "s", ["a"])]
+    df = skew.cut(spark.createDataFrame(docs, "id int, block string, w array<string>"))
+    got = textops.jaccard_classes(df, "id", "w", "block", skew.cut(textops.jaccard_pairs(df, "id", "w", "block", 0.8)))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.class_id, r.copies, r.links) for r in got.collect()) == [(1, 1, 2, 2), (2, 1, 2, 2), (3, 3, 1, 2), (4, 4, 2, 1), (5, 4, 2, 1)]
+
+
 def test_ngrams_and_phrases(spark):
     df = spark.createDataFrame([(1, "red apple pie today".split()), (2, "red apple pie again".split()), (3, ["one"]), (4, [])], "id int, t array<string>")
     got = {(r.n, r.phrase, r.tf, r.df) for r in textops.ngram_frequencies(df, "id", "t").collect()}
