@@ -65,6 +65,27 @@ def test_jaccard_classes_are_not_broadcast(spark):
     assert sorted((r.id, r.class_id, r.copies, r.links) for r in got.collect()) == [(1, 1, 2, 2), (2, 1, 2, 2), (3, 3, 1, 2), (4, 4, 2, 1), (5, 4, 2, 1)]
 
 
+def test_shared_phrases_need_no_join(spark):
+    common, band, edge = "common phrase here", "within the band", "exactly thirty hold"
+    docs = [(i, f"{common} x{i} y{i} {band if i < 4 else ''} {edge if i % 2 else ''} z{i}".split()) for i in range(60)] + [(None, f"{band} q".split())]
+    df = spark.createDataFrame(docs, "id int, t array<string>")
+    got = textops.shared_phrases(df, "id", "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    want: dict[tuple, int] = {}
+    held: dict[str, set] = {}
+    for i, t in docs:
+        t = [w for w in t if len(w) >= 2]
+        for n in (3, 4, 5):
+            for k in range(len(t) - n + 1):
+                held.setdefault(" ".join(t[k : k + n]), set()).add(i)
+    for phrase, ids in held.items():
+        if len(phrase) >= 12 and 2 <= len(ids) <= 30:
+            for pair in itertools.combinations(sorted(x for x in ids if x is not None), 2):
+                want[pair] = want.get(pair, 0) + 1
+    assert {(r.a, r.b): r.phrases for r in got.collect()} == want and (1, 59) in want and (0, 58) not in want
+
+
 def test_ngrams_and_phrases(spark):
     df = spark.createDataFrame([(1, "red apple pie today".split()), (2, "red apple pie again".split()), (3, ["one"]), (4, [])], "id int, t array<string>")
     got = {(r.n, r.phrase, r.tf, r.df) for r in textops.ngram_frequencies(df, "id", "t").collect()}
