@@ -6,8 +6,8 @@ in one unit each; the words of title and brand. Of several codes in a record the
 product, else the one that most records hold. Records with the same stated attributes are one class, which holds the words that
 more than half of its records hold.
 
-Classes that share a code (without any code: two of their three rarest words) are candidate pairs, whatever else they
-say. Terms and pairs then reinforce each other. The score of a pair is S / (S + D + REST): S adds the weights of the terms
+Classes that share a code are candidate pairs, whatever else they say; without any code those that share two of their three
+rarest words, or any two or more words that outweigh the other words of the lighter class (a word weighs by its rarity). Terms and pairs then reinforce each other. The score of a pair is S / (S + D + REST): S adds the weights of the terms
 both hold, D the weights of the attributes in which both state something else. The weight of a term is the mean score of
 all pairs of records that hold it, pairs that are no candidates counting as 0; the weight of an attribute is the mean
 over its terms. Terms of advertising so lose their weight and codes with an attribute gain it. At convergence the pairs
@@ -24,6 +24,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stallmark.llm.canonical import fold, letters, plain
 from stallmark.llm.components import connected_components
@@ -146,15 +147,39 @@ def classify(rec: DataFrame) -> tuple[DataFrame, DataFrame]:
     return member.select("id", "cid"), cls
 
 
+def alike(held: DataFrame) -> DataFrame:
+    """``cid_a`` < ``cid_b`` of all classes that share two or more words which outweigh the other words of the lighter class.
+
+    ``held``: ``cid``, ``term``, ``df``, ``w``. With the words of the lighter class from rare to frequent, the first that
+    both hold must come while what is left, itself included, weighs more than half; so these words meet all words of the
+    others, which loses nothing.
+    """
+    rest = Window.partitionBy("cid").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
+    held = cut(held.withColumn("rest", F.sum("w").over(rest)).withColumn("whole", F.max("rest").over(Window.partitionBy("cid"))))
+    light = held.filter(2 * F.col("rest") > F.col("whole") - 1e-9).select("term", F.col("cid").alias("lc"), F.col("whole").alias("lw"))
+    heavy = held.select("term", F.col("cid").alias("hc"), F.col("whole").alias("hw"))
+    hot = find_hot(held, ["term"], held.count(), floor=HOT_KEY)
+    met = join_with_hot(light, heavy, ["term"], hot, F.col("lc"), strategy="merge")
+    met = met.filter((F.col("lc") != F.col("hc")) & (F.col("lw") <= F.col("hw") + 1e-9)).select("lc", "hc").distinct()
+    words_of = cut(held.groupBy("cid", "whole").agg(F.collect_list(F.struct("term", "w")).alias("ws")))  # the words of a row
+    j = met.join(words_of.select(F.col("cid").alias("lc"), F.col("whole"), F.col("ws").alias("l")).hint("merge"), "lc")
+    j = j.join(words_of.select(F.col("cid").alias("hc"), F.col("ws.term").alias("h")).hint("merge"), "hc")
+    both = F.filter("l", lambda t: F.array_contains("h", t["term"]))
+    weight = F.aggregate(both, F.lit(0.0), lambda x, t: x + t["w"])
+    return j.filter((F.size(both) >= 2) & (2 * weight > F.col("whole"))).select(F.least("lc", "hc").alias("cid_a"), F.greatest("lc", "hc").alias("cid_b"))
+
+
 def candidates(cls: DataFrame) -> DataFrame:
     """``cid_a`` < ``cid_b``, ``pairs`` (of records), ``shared`` terms, ``apart`` (attributes that contradict) of the pairs of classes that share a key."""
-    rare = cls.filter(F.col("code").isNull()).select("cid", F.explode("terms").alias("term"))
     df = cls.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rare = rare.join(df, "term").groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, 3).alias("r"))  # the words of a row
+    bare = cls.filter(F.col("code").isNull()).select("cid", F.explode("terms").alias("term"))
+    held = cut(bare.join(df.hint("merge"), "term").withColumn("w", F.log(1 + F.lit(cls.count()) / F.col("df"))))
+    rare = held.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, 3).alias("r"))  # the words of a row
     two = F.filter(F.array(*[F.concat_ws(" ", F.get("r", F.lit(i))["term"], F.get("r", F.lit(j))["term"]) for i, j in ((0, 1), (0, 2), (1, 2))]), lambda k: F.contains(k, F.lit(" ")))
     keys = cut(cls.filter(F.col("code").isNotNull()).select(F.concat(F.lit("code="), "code").alias("key"), "cid").unionByName(rare.select(F.explode(two).alias("key"), "cid")))
     a, b = (keys.withColumnRenamed("cid", f"cid_{s}") for s in "ab")
-    met = join_with_hot(a, b, ["key"], find_hot(keys, ["key"], keys.count(), floor=HOT_KEY), F.col("cid_a")).filter(F.col("cid_a") < F.col("cid_b")).select("cid_a", "cid_b").distinct()
+    met = join_with_hot(a, b, ["key"], find_hot(keys, ["key"], keys.count(), floor=HOT_KEY), F.col("cid_a")).filter(F.col("cid_a") < F.col("cid_b")).select("cid_a", "cid_b")
+    met = met.unionByName(alike(held)).distinct()
     x, y = (cls.select(F.col("cid").alias(f"cid_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "terms", *KINDS)]) for s in "ab")
     j = met.hint("merge").join(x, "cid_a").hint("merge").join(y, "cid_b")
     apart = F.array_compact(F.array(*[F.when(F.col(f"{k}_a") != F.col(f"{k}_b"), k) for k in KINDS]))
@@ -204,7 +229,7 @@ def reinforce(cls: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
 def same_products(df: DataFrame, ident: str = "record_id", title: str = "title", description: str = "description", model: str = "model", brand: str = "brand", match: float = MATCH) -> DataFrame:
     """``id``, ``group_id`` (smallest id of the product) for every record with a non-null id.
 
-    Null texts hold no terms; records of no code that share no two rare words with others are alone. Repeated ids are one
+    Null texts hold no terms; records of no code that share no two rare or weighty words with others are alone. Repeated ids are one
     record. Empty tables give no rows.
     """
     rec = cut(extract(df.filter(F.col(ident).isNotNull()), ident, title, description, model, brand).dropDuplicates(["id"]))

@@ -1,4 +1,7 @@
 import itertools
+import math
+import random
+from collections import Counter
 
 import pytest
 
@@ -39,6 +42,27 @@ def test_groups(spark):
     assert products.group_pairs(products.same_products(df.limit(0))).count() == 0
 
 
+def test_records_without_code_meet_on_all_their_words(spark, monkeypatch):
+    """Their rarest words are slips of the pen, so the words they share come later."""
+    t = ["walnut dining bench carved rustic qwa qwb qwc sale", "qwd qwe qwf rustic carved bench dining walnut sale", "steel kettle sale", "cotton curtain sale", "qwg qwh qwi qwj walnut sale"]
+    df = spark.createDataFrame([(i, x, None, None, None, 1) for i, x in enumerate(t)], SCHEMA)
+    assert {r.id: r.group_id for r in products.same_products(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    rng = random.Random(5)
+    sets = {c: {f"w{int(rng.random() ** 2 * 25)}" for _ in range(rng.randrange(1, 8))} for c in range(60)}
+    df_ = Counter(w for s in sets.values() for w in s)
+    w = {x: math.log(1 + 60 / n) for x, n in df_.items()}
+    total = {c: sum(w[x] for x in s) for c, s in sets.items()}
+    want = set()
+    for a, b in itertools.combinations(sets, 2):
+        both = sets[a] & sets[b]
+        if len(both) >= 2 and 2 * sum(w[x] for x in both) > min(total[a], total[b]):
+            want.add((a, b))
+    held = spark.createDataFrame([(c, x, df_[x], w[x]) for c, s in sets.items() for x in sorted(s)], "cid bigint, term string, df bigint, w double")
+    assert {(r.cid_a, r.cid_b) for r in products.alike(held).collect()} == want and len(want) > 100
+    monkeypatch.setattr(products, "HOT_KEY", 5)
+    assert {(r.cid_a, r.cid_b) for r in products.alike(held).collect()} == want
+
+
 def test_threshold_decides(spark):
     """Products that differ in one attribute share their code; only the reinforced weights tell them apart."""
     rows, true, n = [], {}, 0
